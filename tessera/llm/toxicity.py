@@ -50,7 +50,7 @@ def by_text(batch: pa.RecordBatch) -> list[np.ndarray]:
 class Ftrl:
     """FTRL-proximal with a bias that isn't regularised."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias = np.zeros(2)
@@ -73,7 +73,7 @@ class Ftrl:
         self.bias += (g - (root - np.sqrt(self.bias[1])) / self.alpha * b, g * g)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int = 3) -> list[tuple[int, float]]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int = 4) -> list[tuple[int, float]]:
     """The non-zero weights as (feature, weight); feature -1 is the bias.
 
     docs: doc_id, text. labels: doc_id, label (0 or 1), of rows that may be learnt from.
