@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, rabin_karp, toxicity, url_filter, warc
+from . import chat_format, decontaminate, rabin_karp, rlbwt, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rlbwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(
+        rlbwt.find_repeats(table(spark, sf_dir, "documents")),
+        ["text", "spans"],
+        n_bytes=("long", lambda r: len((r["text"] or "").encode())),
+        n_removed=("long", lambda r: sum(b - a for a, b in r["spans"])),
+        n_spans=("long", lambda r: len(r["spans"])),
+        kept_sha256=("string", lambda r: rlbwt.kept_digest(r["text"], r["spans"])),
+    )
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -88,7 +99,7 @@ def op9_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op5_decontaminate, op7_chat_format, op8_toxicity, op9_rabin_karp)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -131,6 +142,22 @@ words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id
+""",
+    "op6_rlbwt": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g from (select doc_id, h, unnest(range(0, n - 99)) as i from d where n >= 100)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+groups as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from later),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from (select doc_id, i, sum(case when gap is null or gap > 100 then 1 else 0 end) over (partition by doc_id order by i) as run from groups) group by doc_id, run),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * from_i + 1, 2 * (to_i - from_i)), '' order by from_i) as h, sum(to_i - from_i) as n_kept
+  from (
+    select d.doc_id, d.h, coalesce(lag(b) over (partition by d.doc_id order by a), 0) as from_i, a as to_i from d join runs on d.doc_id = runs.doc_id
+    union all select d.doc_id, d.h, (select coalesce(max(b), 0) from runs where runs.doc_id = d.doc_id), n from d)
+  group by doc_id),
+spans as (select doc_id, count(*) as n_spans from runs group by doc_id)
+select d.doc_id, d.n as n_bytes, cast(d.n - n_kept as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept on d.doc_id = kept.doc_id left join spans on d.doc_id = spans.doc_id
 """,
     "op7_chat_format": r"""
 with c as (
