@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, rabin_karp, rlbwt, toxicity, url_filter, warc
+from . import chat_format, decontaminate, minhash_forest, rabin_karp, rlbwt, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -99,7 +103,7 @@ def op9_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op4_minhash_forest, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -126,6 +130,17 @@ select page_id, cast(strlen(html) as bigint) as payload_bytes,
   case when page_id = response then 'response' else 'revisit' end as record_type,
   case when page_id = response then null else response end as refers_to
 from p join g on p.h = g.h
+""",
+    "op4_minhash_forest": f"""
+with recursive d as (select doc_id, regexp_extract_all({LOWERED}, {SPACED}) as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i + 3], ' ')) as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+e as (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, e.b from r join e on r.other = e.a),
+m as (select doc_id, min(other) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept
+from d left join n on d.doc_id = n.doc_id left join m on d.doc_id = m.doc_id
 """,
     "op5_decontaminate": f"""
 with d as (select doc_id, regexp_extract_all({LOWERED}, {ALNUM}) as w from documents),
