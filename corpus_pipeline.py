@@ -1,3 +1,73 @@
-"""placeholder"""
+"""The corpus pipeline: five stages over the documents, each written and read again by the next."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, minhash_forest, rlbwt, sentencepiece_codec, toxicity
+from tessera.llm.queries import TOKENIZER, table, with_digest
+from tessera.llm.shared import stash
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document with this share or more of its words in benchmark windows is dropped whole; below it, the spans go.
+LEAKED = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject (score below 0.5)."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    weights = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, weights, COLUMNS).where("score < 0.5").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8), the one of smallest doc_id."""
+    found = minhash_forest.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that earlier documents have in strings of 100 bytes; characters cut in two go whole."""
+    found = rlbwt.find_repeats(docs, columns=COLUMNS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [rlbwt.kept_bytes(t, s).decode("utf-8", "ignore") if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in COLUMNS], COLUMNS)
+
+    return found.mapInArrow(cut, docs.select(COLUMNS).schema)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages: hit spans are cut out, and a document that is mostly hit goes."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), columns=COLUMNS)
+    return decontaminate.without_leaks(found, LEAKED, COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, and whether the ids decode to the text again."""
+    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, TOKENIZER), TOKENIZER)
+    counted = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return with_digest(counted, ["ids"], ids_sha256=("string", lambda r: sentencepiece_codec.ids_digest(r["ids"])))
+
+
+STAGES = [("toxicity", drop_toxic), ("minhash near-dedup", drop_near_copies), ("suffix-array dedup", cut_repeats), ("decontamination", drop_leaks), ("sentencepiece", tokenize)]
+
+#: Scores of a fitted model can't be had from SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stash(docs, "stage")
+    return docs

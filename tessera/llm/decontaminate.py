@@ -16,15 +16,15 @@ other than the named ones are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import with_fields
 
 BROADCAST_BYTES = 32 << 20
 SLOTS = 1 << 22
@@ -80,7 +80,7 @@ class Windows:
         return ok
 
 
-def scanner(windows: Windows, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scanner(windows: Windows, columns: list[str], suffix: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):
@@ -96,10 +96,11 @@ def scanner(windows: Windows, width: int) -> Callable[[Iterator[pa.RecordBatch]]
                 for d, i in set(zip(doc.tolist(), own.tolist(), strict=True)):
                     items[d].append(windows.names[i])
                 spans = K.runs(hit, words.first)
-                total = np.concatenate([[0], np.cumsum(hit)])
+                bytes_of = [_in_bytes(words, k, x) for k, x in enumerate(spans)]
+                spans_kind = pa.list_(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(words.counts, pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([_in_bytes(words, k, s) for k, s in enumerate(spans)], pa.list_(pa.list_(pa.int64())))],
-                    ["doc_id", "text", "n_words", "n_hit", "items", "spans"],
+                    [*(part.column(c) for c in columns), pa.array(words.counts, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, spans_kind), pa.array(bytes_of, spans_kind)],
+                    [*columns, "n_words", *(f"{c}{suffix}" for c in ("items", "hits", "spans"))],
                 )
 
     return scan
@@ -110,58 +111,56 @@ def _in_bytes(words: K.Words, row: int, spans: list[list[int]]) -> list[list[int
     return [[int(words.start[first + a] - base), int(words.end[first + b - 1] - base)] for a, b in spans]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted ids as strings), spans (hit runs as [start, end) bytes).
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, columns: list[str] | None = None) -> DataFrame:
+    """docs' columns (doc_id and text, or those named) with n_words, n_hit, items (sorted ids as strings), spans (hit runs as [start, end) bytes).
 
     docs: doc_id, text. benchmark: item_id, text.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    if int(size["b"] or 0) + 16 * size["n"] > BROADCAST_BYTES:
-        return _in_parts(docs, benchmark, width, int(size["b"] or 0) + 16 * size["n"])
-    return _scan(docs, benchmark, width)
+    columns = columns or ["doc_id", "text"]
+    passages = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = passages.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("b")).first()["b"] or 0
+    parts = -(-2 * size // BROADCAST_BYTES) if size > BROADCAST_BYTES else 1
+    found, one = docs.select(columns), F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for i in range(parts):
+        found = _scan(found, passages.where(one == i) if parts > 1 else passages, width, [c for c in found.columns if c != "n_words"], f"_{i}")
+    merged = {c: _merged_spans(F.array_sort(F.concat(*(f"{c}_{i}" for i in range(parts))))) if parts > 1 else F.col(f"{c}_0") for c in ("hits", "spans")}
+    merged["items"] = F.array_sort(F.concat(*(f"items_{i}" for i in range(parts))))
+    found = found.withColumns(merged)
+    return found.select(*columns, "n_words", F.expr("aggregate(hits, 0L, (n, s) -> n + s[1] - s[0])").alias("n_hit"), "items", "spans")
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    windows = Windows([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()], width)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _scan(docs: DataFrame, benchmark: DataFrame, width: int, columns: list[str], suffix: str) -> DataFrame:
+    # At most BROADCAST_BYTES of text, as find_leaks has checked or cut it.
+    windows = Windows([(r["item_id"], r["text"]) for r in benchmark.collect()], width)
     held = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from scanner(held.value, width)(batches)
+        yield from scanner(held.value, columns, suffix)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, text string, n_words long, n_hit long, items array<string>, spans array<array<bigint>>")
+    fields = with_fields(docs.select(columns), f"n_words long, items{suffix} array<string>, hits{suffix} array<array<bigint>>, spans{suffix} array<array<bigint>>")
+    return docs.select(columns).mapInArrow(scan, fields)
 
 
-def _in_parts(docs: DataFrame, benchmark: DataFrame, width: int, size: int) -> DataFrame:
-    """Parts of the benchmark by hash of the item; hits of a row are merged by a key made of its id and text."""
-    parts = -(-2 * size // BROADCAST_BYTES)
-    out = None
-    for i in range(parts):
-        part = _scan(docs, benchmark.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(parts)) == i), width)
-        out = part if out is None else out.unionByName(part)
-    merged = (
-        out.groupBy("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("b"))
-        .agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), (F.count("*") / parts).cast("int").alias("copies"))
-        .withColumn("spans", _merged_spans("spans"))
-    )
-    hit = F.expr(r"aggregate(spans, 0L, (n, s) -> n + size(filter(split(regexp_replace(decode(substring(encode(text, 'UTF-8'), cast(s[0] + 1 as int), cast(s[1] - s[0] as int)), 'UTF-8'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' '), ' '), w -> w <> '')))")
-    return merged.withColumn("n_hit", hit).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text", "n_words", "n_hit", F.array_distinct("items").alias("items"), "spans")
+def _merged_spans(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+    none = F.expr("cast(array() as array<array<bigint>>)")
 
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))[1] >= s[0]), longer).otherwise(F.concat(done, F.array(s)))
 
-def _merged_spans(spans: str):
-    return F.expr(f"aggregate({spans}, cast(array() as array<array<bigint>>), (m, s) -> case when size(m) > 0 and element_at(m, -1)[1] >= s[0] then concat(slice(m, 1, size(m) - 1), array(array(element_at(m, -1)[0], greatest(element_at(m, -1)[1], s[1])))) else concat(m, array(s)) end)")
+    return F.aggregate(spans, none, add)
 
 
-def without_leaks(found: DataFrame, most: float = 0.5) -> DataFrame:
-    """doc_id and text: hit spans removed; a text whose share of hit words exceeds `most` goes altogether."""
+def without_leaks(found: DataFrame, most: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """Rows of find_leaks with hit spans cut out of the text (n_chars, if carried, is counted anew); a row whose share of hit words is `most` or more goes."""
+    columns = columns or ["doc_id", "text"]
     pieces = F.expr(
         "transform(sequence(0, size(spans)), i -> decode(substring(encode(text, 'UTF-8'),"
         " cast(if(i = 0, 0, spans[i - 1][1]) + 1 as int),"
         " cast(if(i = size(spans), octet_length(text), spans[i][0]) - if(i = 0, 0, spans[i - 1][1]) as int)), 'UTF-8'))"
     )
-    keep = found.where((F.col("n_words") == 0) | (F.col("n_hit") <= most * F.col("n_words")))
-    return keep.select("doc_id", F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"))
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < most * F.col("n_words")))
+    kept = kept.withColumn("text", F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.array_join(pieces, "")))
+    return (kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else kept).select(columns)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, minhash_forest, rabin_karp, rlbwt, toxicity, url_filter, warc
+from . import chat_format, decontaminate, minhash_forest, nn_descent, rabin_karp, rlbwt, sentencepiece_codec, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -103,7 +107,17 @@ def op9_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op4_minhash_forest, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp)}
+#: A parameter: the model is part of the machine, not of this repository.
+TOKENIZER = os.environ.get("TESSERA_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    counted = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return with_digest(counted, ["ids"], ids_sha256=("string", lambda r: sentencepiece_codec.ids_digest(r["ids"])))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_nn_descent, op4_minhash_forest, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp, op10_sentencepiece)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

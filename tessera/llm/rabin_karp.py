@@ -34,7 +34,7 @@ RANGE_BYTES = 8 << 20
 
 
 def chunked(docs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, payload: about `most` bytes of (doc_id, text) rows, as a compressed Arrow stream."""
+    """chunk, payload: rows of docs with about `most` bytes of text, as a compressed Arrow stream."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -46,7 +46,7 @@ def chunked(docs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
                 at += 1
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "chunk long, payload binary")
+    return docs.mapInArrow(pack, "chunk long, payload binary")
 
 
 def unpacked(payload: bytes) -> pa.Table:
@@ -124,7 +124,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, bits: int = 64) -> DataFr
     docs: doc_id, text; words are runs of bytes that aren't ASCII white space, unchanged.
     """
     ranges = power_of_two(text_bytes(docs, "text") / RANGE_BYTES, 256, 1 << 20)
-    chunks = stash(chunked(docs), "chunks")
+    chunks = stash(chunked(docs.select("doc_id", "text")), "chunks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

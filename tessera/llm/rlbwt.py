@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .rabin_karp import CHUNK_BYTES, chunked, repeated_elsewhere, unpacked
-from .shared import power_of_two, stash, text_bytes
+from .shared import power_of_two, stash, text_bytes, with_fields
 
 RANGE_BYTES = 4 << 20
 #: An index is built over about so many bytes of distinct snippets; anchors are never split.
@@ -260,14 +260,14 @@ def indexed(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "range": pa.array([table.column("range")[0].as_py()] * len(blobs), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def find_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
-    """doc_id, text, spans: maximal runs [start, end) of bytes to remove.
+def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None = None) -> DataFrame:
+    """docs' columns (doc_id and text, or those named) with spans, maximal runs [start, end) of bytes to remove.
 
     docs: doc_id (integer), text.
     """
     ranges = power_of_two(text_bytes(docs, "text") / RANGE_BYTES, 256, 1 << 20)
+    docs = docs.select(columns or ["doc_id", "text"])
     chunks = stash(chunked(docs, CHUNK_BYTES), "chunks")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def loaded(payload: bytes) -> tuple[pa.Table, Anchored, np.ndarray]:
         rows = unpacked(payload)
@@ -315,13 +315,13 @@ def find_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
                 windows = spread(found.start[sent], found.n[sent])
                 gone = [windows[np.concatenate(flags)] if flags else windows[:0], spread(found.start[own[again]], found.n[own[again]])]
                 spans = K.runs(K.covered(len(found.data), np.concatenate(gone), width), found.offsets)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), rows.column("text").combine_chunks(), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["doc_id", "text", "spans"])
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*rows.schema.names, "spans"])
 
     masks = stash(repeated_elsewhere(chunks.mapInArrow(send, "range int, chunk long, wide boolean, blob binary")), "anchors")
     masked = chunks.join(masks, "chunk", "left")
     snippets = masked.mapInArrow(send_snippets, "range int, chunk long, blob binary")
     marks = snippets.groupBy("range").applyInArrow(lambda t: indexed(t, width), "chunk long, range int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("marks"))
-    return masked.join(marks, "chunk", "left").select("payload", "masks", "marks").mapInArrow(mark, f"doc_id {kind}, text string, spans array<array<bigint>>")
+    return masked.join(marks, "chunk", "left").select("payload", "masks", "marks").mapInArrow(mark, with_fields(docs, "spans array<array<bigint>>"))
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:

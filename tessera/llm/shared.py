@@ -33,6 +33,11 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, more: str) -> str:
+    """df's schema and more fields, as DDL."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Total bytes of a text column; one narrow scan, one row to the driver."""
     return int(df.select(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import with_fields
 
 BITS = 20
 KINDS = ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2))
@@ -107,8 +108,8 @@ def hash_of(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
-def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
-    """docs' columns with score, a double from 0 to 1."""
+def score(docs: DataFrame, weights: list[tuple[int, float]], columns: list[str] | None = None) -> DataFrame:
+    """docs' columns (doc_id and text, or those named) with score, a double from 0 to 1."""
     dense = np.zeros(1 << BITS, dtype=np.float32)
     bias = 0.0
     for feature, weight in weights:
@@ -117,8 +118,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
         else:
             dense[feature] = weight
     held = docs.sparkSession.sparkContext.broadcast(dense)
-    narrow = docs.select("doc_id", "text")
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select(columns or ["doc_id", "text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
@@ -132,9 +132,9 @@ def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
                 keys = np.unique(np.concatenate(keys))
                 total = np.bincount(keys >> BITS, weights=w[keys & ((1 << BITS) - 1)], minlength=part.num_rows) + bias
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(p, pa.float64())], ["doc_id", "text", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 
-    return narrow.mapInArrow(apply, f"doc_id {kind}, text string, score double")
+    return narrow.mapInArrow(apply, with_fields(narrow, "score double"))
 
 
 def held_out(doc_id):
