@@ -1 +1,8 @@
-QUERIES, SQL = {}, {}
+"""All queries of the engine and their SQL."""
+
+from __future__ import annotations
+
+from .plans import io, scalar
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "io", "scalar"]
