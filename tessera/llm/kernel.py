@@ -41,14 +41,16 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n, kept for the largest n so far."""
+    """base**i and its inverse modulo 2**64 for i < n; kept for the largest n so far, up to a million."""
     got = _POWERS.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16) * 5 // 4
+        size = max(n * 5 // 4, 1 << 16) if n < 1 << 20 else n
         up = np.full(size, base, dtype=np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
-        got = _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+        got = np.cumprod(up), np.cumprod(down)
+        if size <= 5 << 18:
+            _POWERS[base] = got
     return got[0][:n], got[1][:n]
 
 

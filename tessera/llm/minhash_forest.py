@@ -8,8 +8,8 @@ Each of TREES trees orders all classes by DEPTH MinHash values. The order is a r
 a region of texts that agree on many values is split over tasks like any other. In sorted
 order, the NEAR following classes that agree on the first LEAST values are candidates;
 where a region is crowded, the nearest in order are those with the longest common prefix,
-so the depth adapts to the region. Four bits of every MinHash value travel along; candidates
-whose bits agree too rarely for `threshold` are left out (by six standard deviations).
+so the depth adapts to the region. A sketch of one bit of each of BITS MinHash values travels
+along; candidates whose bits agree too rarely are left out (by five standard deviations).
 
 Candidates are confirmed on full sets: first the best one of each class, then, of all
 others, those that the confirmed links have not connected already. Components follow by
@@ -37,9 +37,12 @@ from .components import components
 from .shared import stash
 
 TREES, LEAST, DEPTH, NEAR = 20, 3, 6, 4
-VALUES = TREES * LEAST
-PREFIX = 1 + 4 * LEAST
-MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, VALUES, dtype=np.uint64) * K.U64(2) + K.U64(1)
+VALUES, BITS = TREES * LEAST, 240
+#: Bytes of a value in a key: three of the first LEAST, two of deeper ones.
+PREFIX = 1 + 3 * LEAST
+MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, BITS, dtype=np.uint64) * K.U64(2) + K.U64(1)
+#: Texts are looked up by a bitmap of so many bits (4 MB), which bounds what is broadcast; more documents only make it less selective.
+BITMAP = 1 << 25
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +58,7 @@ def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (two hashes of the set), signature (VALUES big-endian 32-bit minima)."""
+    """doc_id, n_shingles, h1, h2 (two hashes of the set), signature (VALUES big-endian 32-bit minima, then a bit of each of BITS minima)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,31 +68,34 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(cuts)
                 full = np.flatnonzero(n)
                 heads = cuts[:-1][full]
-                out = np.zeros((part.num_rows, VALUES), dtype=">u4")
+                out, bits = np.zeros((part.num_rows, VALUES), dtype=">u4"), np.zeros((part.num_rows, BITS), dtype=bool)
                 sums = np.zeros((2, part.num_rows), dtype=np.uint64)
                 if len(full):
                     for i, m in enumerate(MULTIPLIERS):
-                        out[full, i] = np.minimum.reduceat(sets * m, heads) >> K.U64(32)
+                        low = np.minimum.reduceat(sets * m, heads)
+                        bits[full, i] = K.mixed(low) & K.U64(1)
+                        if i < VALUES:
+                            out[full, i] = low >> K.U64(32)
                     sums[0, full] = np.add.reduceat(K.mixed(sets), heads)
                     sums[1, full] = np.add.reduceat(K.mixed(sets ^ K.U64(0xA0761D6478BD642F)), heads)
-                signatures = [r.tobytes() if k else None for r, k in zip(out, n.tolist(), strict=True)]
+                signatures = [r.tobytes() + b.tobytes() if k else None for r, b, k in zip(out, np.packbits(bits, axis=1), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key (tree and DEPTH values), rep, sketch (four bits of each value) of each class and tree."""
+    """key (tree and DEPTH values, cut short), rep, sketch of each class and tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, VALUES, 4)
-        low = values[:, :, 3] & 15
-        sketch = pa.array([r.tobytes() for r in low[:, ::2] << 4 | low[:, 1::2]], pa.binary())
+        whole = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, VALUES * 4 + BITS // 8)
+        values = whole[:, : VALUES * 4].reshape(n, VALUES, 4)
+        sketch = pa.array([r.tobytes() for r in whole[:, VALUES * 4 :]], pa.binary())
         for t in range(TREES):
-            own = values[:, [(t * LEAST + i) % VALUES for i in range(DEPTH)], :].reshape(n, DEPTH * 4)
-            keys = np.concatenate([np.full((n, 1), t, np.uint8), own], 1)
+            own = [values[:, (t * LEAST + i) % VALUES, : 3 if i < LEAST else 2] for i in range(DEPTH)]
+            keys = np.concatenate([np.full((n, 1), t, np.uint8), *own], 1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in keys], pa.binary()), batch.column("rep"), sketch], ["key", "rep", "sketch"])
 
 
@@ -111,8 +117,7 @@ def neighbours(least: float):
             for lag in range(1, min(NEAR, len(reps) - 1) + 1):
                 i = np.arange(max(old, lag), len(reps))
                 i = i[(keys[i, :PREFIX] == keys[i - lag, :PREFIX]).all(1) & (reps[i] != reps[i - lag])]
-                x = sketch[i] ^ sketch[i - lag]
-                agree = (((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1)) / VALUES
+                agree = 1 - np.bitwise_count(sketch[i] ^ sketch[i - lag]).sum(1) / BITS
                 ok = agree >= least
                 found.append((np.minimum(reps[i], reps[i - lag])[ok], np.maximum(reps[i], reps[i - lag])[ok], agree[ok]))
             if found:
@@ -146,12 +151,38 @@ def confirmer(width: int, percent: int):
     return confirm
 
 
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of fixed size, aggregated in Spark; a set bit says that an id may be among ids."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1  # positions count from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(h).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in parts:
+        at = (r["part"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(1)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, z (compressed text) of the documents with these ids; a bitmap keeps most others out of the shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            yield batch.filter(pa.array((held.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
+
+    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("h"))
+    found = hashed.mapInArrow(lambda batches: zipped(maybe(batches)), "doc_id long, z binary").join(ids, "doc_id", "left_semi")
+    # Equal ids have equal texts up to copies of a row; one of them is enough.
+    return found.dropDuplicates(["doc_id"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, for each row of docs.
 
@@ -162,15 +193,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = signatures.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     reps = stash(classes, "classes")
     share = percent / 100
-    agree = share + (1 - share) / 16
-    least = agree - 6 * (agree * (1 - agree) / VALUES) ** 0.5
+    agree = (1 + share) / 2
+    least = agree - 5 * (agree * (1 - agree) / BITS) ** 0.5
     rows = reps.select("rep", "signature").mapInArrow(forest_rows, "key binary, rep long, sketch binary")
     found = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(neighbours(least), "a long, b long, agree double")
     pairs = stash(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Equal ids have equal texts up to copies of a row; one of them is enough.
-    texts = stash(docs.where("doc_id is not null").mapInArrow(zipped, "doc_id long, z binary").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = stash(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
 
     def confirmed(chosen: DataFrame) -> DataFrame:
         with_texts = chosen.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")

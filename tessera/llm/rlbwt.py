@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .rabin_karp import CHUNK_BYTES, chunked, repeated_elsewhere, unpacked
+from .rabin_karp import chunked, repeated_elsewhere, unpacked
 from .shared import power_of_two, stash, text_bytes, with_fields
 
+#: A chunk takes about 150 bytes of working memory a byte.
+CHUNK_BYTES = 1 << 19
 RANGE_BYTES = 4 << 20
 #: An index is built over about so many bytes of distinct snippets; anchors are never split.
 INDEX_BYTES = 4 << 20
