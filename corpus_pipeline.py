@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash_forest, rlbwt, sentencepiece_codec, toxicity
-from tessera.llm.queries import TOKENIZER, table, with_digest
+from tessera.llm.queries import TOKENIZER, table
 from tessera.llm.shared import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,10 +51,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, and whether the ids decode to the text again."""
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, TOKENIZER), TOKENIZER)
-    counted = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    return with_digest(counted, ["ids"], ids_sha256=("string", lambda r: sentencepiece_codec.ids_digest(r["ids"])))
+    """doc_id, n_tokens, digests of the ids and of what they decode to, and whether that is the text."""
+    return sentencepiece_codec.summaries(docs, TOKENIZER)
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash near-dedup", drop_near_copies), ("suffix-array dedup", cut_repeats), ("decontamination", drop_leaks), ("sentencepiece", tokenize)]

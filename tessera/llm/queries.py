@@ -112,9 +112,7 @@ TOKENIZER = os.environ.get("TESSERA_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.m
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
-    counted = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    return with_digest(counted, ["ids"], ids_sha256=("string", lambda r: sentencepiece_codec.ids_digest(r["ids"])))
+    return sentencepiece_codec.summaries(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_nn_descent, op4_minhash_forest, op5_decontaminate, op6_rlbwt, op7_chat_format, op8_toxicity, op9_rabin_karp, op10_sentencepiece)}

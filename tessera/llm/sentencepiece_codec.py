@@ -37,7 +37,7 @@ from . import kernel as K
 
 SPACE = 0x2581
 LONG = 48
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 CELLS = 1 << 21
 SLOTS = 1 << 21
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -339,9 +339,17 @@ class Decoder:
         normal = set(model.number.values())
         self.content = [back.get(i) or (p.replace("▁", " ").encode() if i in normal else " ⁇ ".encode() if i == model.unknown else b"") for i, p in enumerate(model.pieces)]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.prefix and text.startswith(" ") else text
+        self.size = np.array([len(c) for c in self.content])
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.flat = np.frombuffer(b"".join(self.content), np.uint8)
+
+    def decode_batch(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of rows of ids (cuts: where each row's begin, with the end)."""
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.flat[np.repeat(self.begin[ids] - ends[:-1], size) + np.arange(int(ends[-1]))].tobytes()
+        texts = [data[a:b] for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist(), strict=True)]
+        return [t[1:] if self.model.prefix and t[:1] == b" " else t for t in texts]
 
 
 _LOADED: dict[str, tuple[Model, Decoder]] = {}
@@ -375,10 +383,31 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = loaded(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "ids")), pa.array([decoder.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text", "ids", "decoded"])
+            for part in K.slices(batch, "text", BATCH_BYTES):
+                lists = part.column("ids").fill_null([])
+                cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = decoder.decode_batch(lists.flatten().to_numpy(zero_copy_only=False), cuts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "text", "ids")), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, decoded string")
 
 
-def ids_digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+def summaries(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256, round_trip: encoded and decoded in one pass, so that ids don't leave the worker."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, decoder = loaded(path)
+        for batch in batches:
+            for part in K.slices(batch, "text", BATCH_BYTES):
+                texts = part.column("text").to_pylist()
+                ids, cuts = encode_batch(model, texts)
+                back = decoder.decode_batch(ids, cuts)
+                data = ids.astype("<i4").tobytes()
+                digests = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array(digests), pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(back, texts, strict=True)], pa.bool_())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
