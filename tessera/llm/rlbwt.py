@@ -41,7 +41,7 @@ from .shared import power_of_two, stash, text_bytes, with_fields
 CHUNK_BYTES = 1 << 19
 RANGE_BYTES = 4 << 20
 #: An index is built over about so many bytes of distinct snippets; anchors are never split.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 KGRAM = 40
 
