@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import io, scalar
+from .plans import flows, graphs, io, learning, pairing, scalar
 from .plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "io", "scalar"]
+__all__ = ["QUERIES", "SQL", "flows", "graphs", "io", "learning", "pairing", "scalar"]

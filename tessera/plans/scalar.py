@@ -321,14 +321,14 @@ def fn_pair_key(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("a", "b", F.md5(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))).alias("key"))
 
 
-ANSWERS = "select event_id, case event_id % 5 when 0 then 'score ' || round(value / 100, 3) when 1 then '1' when 2 then 'none' when 3 then '類似度: ' || round(value / 100, 3) || chr(10) || 'x' else 'similarity ' || cast(round(value) as bigint) end as t from events"
+ANSWERS = "select event_id, case event_id % 5 when 0 then 'score ' || (event_id % 1000) / 1000.0 when 1 then '1' when 2 then 'none' when 3 then '類似度: ' || (event_id % 1000) / 1000.0 || chr(10) || 'x' else 'similarity ' || event_id % 7 end as t from events"
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    v, k = F.col("value"), F.col("event_id") % 5
+    k1, k = F.col("event_id") % 1000, F.col("event_id") % 5
     t = (
-        F.when(k == 0, F.concat(F.lit("score "), F.round(v / 100, 3).cast("string"))).when(k == 1, "1").when(k == 2, "none")
-        .when(k == 3, F.concat(F.lit("類似度: "), F.round(v / 100, 3).cast("string"), F.lit("\nx"))).otherwise(F.concat(F.lit("similarity "), F.round(v).cast("long").cast("string")))
+        F.when(k == 0, F.concat(F.lit("score "), (k1 / 1000.0).cast("string"))).when(k == 1, "1").when(k == 2, "none")
+        .when(k == 3, F.concat(F.lit("類似度: "), (k1 / 1000.0).cast("string"), F.lit("\nx"))).otherwise(F.concat(F.lit("similarity "), (F.col("event_id") % 7).cast("string")))
     )
     return table(spark, d, "events").select("event_id", t.alias("t"))
 
@@ -338,10 +338,10 @@ def fn_parse_score(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("event_id", X.parse_score(F.col("t")).alias("score"))
 
 
-@query(r"""select event_id, case event_id % 2 when 0 then 'はい' else 'いいえ' end as verdict, round(value / 1000, 4) as score, 'k ' || user_id as reason from events""")
+@query(r"""select event_id, case event_id % 2 when 0 then 'はい' else 'いいえ' end as verdict, (event_id % 1000) / 1000.0 as score, 'k ' || user_id as reason from events""")
 def fn_parse_verdict(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    t = F.concat(F.when(F.col("event_id") % 2 == 0, "はい。\n").otherwise("いいえ\n"), F.lit("類似度スコア: "), F.format_number(F.col("value") / 1000, 4), F.lit("\n理由: k "), F.col("user_id").cast("string"))
+    t = F.concat(F.when(F.col("event_id") % 2 == 0, "はい。\n").otherwise("いいえ\n"), F.lit("類似度スコア: "), (F.col("event_id") % 1000 / 1000.0).cast("string"), F.lit("\n理由: k "), F.col("user_id").cast("string"))
     return e.select("event_id", X.parse_verdict(t).alias("v")).select("event_id", "v.verdict", "v.score", "v.reason")
 
 
