@@ -105,6 +105,40 @@ def content_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return one, two ^ K.mixed((end - start).astype(np.uint64))
 
 
+def blocks(lengths: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
+    """Parts of ranges of these lengths with about `most` bytes each."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def range_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """content_hashes of byte ranges, a block at a time."""
+    out = [content_hashes(data[spread(begin[p], length[p])], np.cumsum(length[p]) - length[p], np.cumsum(length[p])) for p in blocks(length)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
+
+
+def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """content_hashes of all windows of byte ranges, a block at a time."""
+    out = []
+    for p in blocks(length):
+        start = spread(np.cumsum(length[p]) - length[p], length[p] - width + 1)
+        out.append(content_hashes(data[spread(begin[p], length[p])], start, start + width))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
+
+
+def has_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) occur more than once."""
+    order = np.lexsort((b, a))
+    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    out = np.zeros(len(a), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of `ranges` (a power of two over 1) equal parts of the hash values begins in sorted keys."""
     shift = K.U64(64 - int(ranges).bit_length() + 1)
@@ -235,27 +269,48 @@ def indexed(table: pa.Table, width: int) -> pa.Table:
     order = np.lexsort((start, np.array(chunks)[source], doc))
     age = np.empty(len(order), dtype=np.int64)
     age[order] = np.arange(len(order))
-    a, b = content_hashes(data, begin[:-1], begin[1:])
+    a, b = range_hashes(data, begin[:-1], lengths)
     by_content = np.lexsort((age, b, a, key))
     new = np.ones(len(by_content), dtype=bool)
     x, y = by_content[1:], by_content[:-1]
     new[1:] = (a[x] != a[y]) | (b[x] != b[y]) | (key[x] != key[y])
     distinct = by_content[new]  # the oldest of equals, by anchor
-    first = np.concatenate([[0], np.cumsum(lengths - width + 1)])
+    count = lengths - width + 1
+    first = np.concatenate([[0], np.cumsum(count)])
     marks = np.ones(int(first[-1]), dtype=bool)
-    size = np.cumsum(lengths[distinct] + 1)
-    group = np.cumsum(np.concatenate([[0], (key[distinct[1:]] != key[distinct[:-1]]).astype(np.int64)]))
-    group_end = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+    own = np.repeat(np.arange(len(distinct)), count[distinct])
+    marks[spread(first[distinct], count[distinct])] = False
+    # Only windows whose hash another snippet has too need the index: around a passage that many texts share,
+    # the snippets differ in what is before and behind it, and those windows are unique.
+    a, b = window_hashes(data, begin[:-1][distinct], lengths[distinct], width)
+    shared = has_equal(a, b)
+    head = shared.copy()
+    head[1:] &= ~(shared[:-1] & (own[1:] == own[:-1]))
+    run = np.flatnonzero(head)
+    tail = shared.copy()
+    tail[:-1] &= ~(shared[1:] & (own[1:] == own[:-1]))
+    windows = np.flatnonzero(tail) + 1 - run
+    snippet = distinct[own[run]]
+    offset = run - np.searchsorted(own, own[run])
+    sub_begin, sub_length, sub_mark = begin[snippet] + offset, windows + width - 1, first[snippet] + offset
+    # Of equal parts of snippets the oldest goes on; the others are marked.
+    a, b = range_hashes(data, sub_begin, sub_length)
+    order = np.lexsort((age[snippet], b, a, key[snippet]))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]]) & (key[snippet[order[1:]]] == key[snippet[order[:-1]]])
+    again = order[same]
+    marks[spread(sub_mark[again], windows[again])] = True
+    order = order[~same]
+    size = np.cumsum(sub_length[order] + 1)
+    group_end = np.flatnonzero(np.append(key[snippet[order[1:]]] != key[snippet[order[:-1]]], True)) + 1 if len(order) else np.zeros(0, np.int64)
     at = 0
-    while at < len(distinct):
+    while at < len(order):
         done = size[at - 1] if at else 0
         cut = int(np.searchsorted(size[group_end - 1], done + INDEX_BYTES, "right"))
         to = int(group_end[max(cut - 1, int(np.searchsorted(group_end, at, "right")))])
-        part = distinct[at:to]
-        bytes_at = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(lengths[part])[:-1]]), lengths[part]) + np.arange(int(lengths[part].sum()))
-        windows = lengths[part] - width + 1
-        marks_at = np.repeat(first[part] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(int(windows.sum()))
-        marks[marks_at] = marks_of(data[bytes_at], lengths[part], age[part], width)
+        part = order[at:to]
+        found = marks_of(data[spread(sub_begin[part], sub_length[part])], sub_length[part], age[snippet[part]], width)
+        marks[spread(sub_mark[part], windows[part])] = found
         at = to
     edges = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(blobs)))])
     bits = [np.packbits(marks[first[edges[i]] : first[edges[i + 1]]]).tobytes() for i in range(len(blobs))]
