@@ -112,7 +112,8 @@ def minhash_pairs(sets: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
     keyed = sets.where("size(items) > 0").withColumn("h", F.sha2(F.array_join(F.array_sort("items"), "\x1f"), 256))
     node = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.first("items").alias("items"))
     copies = keyed.join(node.select("h", "rep"), "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    band = [F.sha2(F.concat_ws(",", F.lit(i), *(F.array_min(F.transform("items", lambda x, k=i * rows + j: F.xxhash64(F.lit(k), x))) for j in range(rows))), 256) for i in range(bands)]
+    least = lambda k: F.array_min(F.transform("items", lambda x: F.xxhash64(F.lit(k), x)))
+    band = [F.sha2(F.concat_ws(",", F.lit(i), *(least(i * rows + j) for j in range(rows))), 256) for i in range(bands)]
     alike = block_join(node.select("rep", F.array(*band).alias("bands")), "rep", "bands")
     return alike.unionByName(copies)
 

@@ -108,8 +108,8 @@ def gr_synergy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gr_contract_all(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("truth and p >= 0.3")
-    return graph.contract_rounds(e, e.where("p >= 0.5"))
+    e = stash(edges(spark, d).where("truth and p >= 0.85"), "edges")
+    return graph.contract_rounds(e, e.where("p >= 0.9"), most=8)
 
 
 @query(f"""with {POSTERIORS}, k as (select *, row_number() over (partition by inf_same > 0.5 or inf_not > 0.5 order by inf_unknown, a, b) as k from q)
@@ -139,8 +139,8 @@ def gr_adaptive(spark: SparkSession, d: str) -> DataFrame:
     from .workflow import adaptive_merge
 
     r = records(spark, d)
-    scored = edges(spark, d).where("truth").select("a", "b", F.col("p").alias("score"))
-    return adaptive_merge(r.select("id", "cluster_id"), scored)
+    scored = stash(edges(spark, d).where("truth").select("a", "b", F.col("p").alias("score")), "scores")
+    return adaptive_merge(r.select("id", "cluster_id"), scored, most=3)
 
 
 @query(f"with recursive {EDGES}, g as (select distinct x.p_name as a, y.p_name as b from e join part x on e.a = x.p_partkey join part y on e.b = y.p_partkey where e.truth and e.p >= 0.99 and x.p_name <> y.p_name), {components_sql('g')} select p_name as cluster, coalesce(component, p_name) as merged from (select distinct p_name from part) left join n on p_name = node")

@@ -32,8 +32,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def daily(events: DataFrame) -> DataFrame:
     """Counts and sums by day and type; late events count within two days."""
-    w = events.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type")
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("day"), "event_type", "n", "total")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type")
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
 def run_once(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
