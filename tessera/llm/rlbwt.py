@@ -10,7 +10,8 @@ doc_id, or same text and earlier start). Three steps:
 2. Index. The windows of one occurrence of a repeated anchor are contiguous; their bytes
    are a snippet. Chunks send each distinct snippet once (its first occurrence), so hot
    passages cost one snippet a chunk. All snippets of an anchor meet in one task, which
-   builds a suffix array over the distinct ones, turns it into a run-length compressed
+   sets windows aside whose hash no other snippet has, builds a suffix array over the
+   distinct parts that are left, turns it into a run-length compressed
    BWT with samples at run ends, and streams the snippets through it by backward steps.
    The row reached after each step tells the match interval of length >= `width`; a
    window is marked if the first text of its interval isn't its own occurrence.
@@ -38,7 +39,7 @@ from .rabin_karp import chunked, repeated_elsewhere, unpacked
 from .shared import power_of_two, stash, text_bytes, with_fields
 
 #: A chunk takes about 150 bytes of working memory a byte.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 RANGE_BYTES = 4 << 20
 #: An index is built over about so many bytes of distinct snippets; anchors are never split.
 INDEX_BYTES = 1 << 20
@@ -120,22 +121,25 @@ def range_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tup
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
 
 
-def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """content_hashes of all windows of byte ranges, a block at a time."""
-    out = []
+def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every window of byte ranges, computed a block at a time."""
+    out, at = np.empty(int((length - width + 1).sum()), dtype=np.uint64), 0
     for p in blocks(length):
         start = spread(np.cumsum(length[p]) - length[p], length[p] - width + 1)
-        out.append(content_hashes(data[spread(begin[p], length[p])], start, start + width))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
+        part = data[spread(begin[p], length[p])]
+        out[at : at + len(start)] = K.RangeHash(K.byte_table(41, False)[part], 0x2545F4914F6CDD1D).of(start, start + width)
+        at += len(start)
+    return out
 
 
-def has_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs (a, b) occur more than once."""
-    order = np.lexsort((b, a))
-    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+def has_equal(a: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    in_order = np.sort(a)
+    again = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
     out = np.zeros(len(a), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    for i in range(0, len(a) if len(again) else 0, 1 << 18):
+        part = a[i : i + (1 << 18)]
+        out[i : i + (1 << 18)] = again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part
     return out
 
 
@@ -278,12 +282,11 @@ def indexed(table: pa.Table, width: int) -> pa.Table:
     count = lengths - width + 1
     first = np.concatenate([[0], np.cumsum(count)])
     marks = np.ones(int(first[-1]), dtype=bool)
-    own = np.repeat(np.arange(len(distinct)), count[distinct])
+    own = np.repeat(np.arange(len(distinct), dtype=np.int32), count[distinct])
     marks[spread(first[distinct], count[distinct])] = False
-    # Only windows whose hash another snippet has too need the index: around a passage that many texts share,
-    # the snippets differ in what is before and behind it, and those windows are unique.
-    a, b = window_hashes(data, begin[:-1][distinct], lengths[distinct], width)
-    shared = has_equal(a, b)
+    # Only windows whose 64-bit hash another snippet has too need the index (which confirms them): around a passage
+    # that many texts share, the snippets differ in what is before and behind it, and those windows are unique.
+    shared = has_equal(window_hashes(data, begin[:-1][distinct], lengths[distinct], width))
     head = shared.copy()
     head[1:] &= ~(shared[:-1] & (own[1:] == own[:-1]))
     run = np.flatnonzero(head)
