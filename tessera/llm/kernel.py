@@ -7,18 +7,12 @@ offsets, words are found with a 256-entry class table, and polynomial prefix sum
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-# Freed arrays of a megabyte or more go back to the system at once: workers live on from task to task.
-with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
-
 U64 = np.uint64
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes outside words when only digits, ASCII letters and non-ASCII bytes make words.
