@@ -13,8 +13,12 @@ along; candidates whose bits agree too rarely are left out (by five standard dev
 
 Candidates are confirmed on full sets: first the best one of each class, then, of all
 others, those that the confirmed links have not connected already. Components follow by
-stars. A pair at the threshold is missed with a probability below 10**-6 in regions of up
-to NEAR classes.
+stars.
+
+Regions of equal first LEAST values with more than NEAR + 1 classes, and those at the border
+of a partition, are finished: all their pairs that are not connected yet are compared by
+sketch and confirmed, in blocks of BLOCK classes that are dealt over tasks. So a pair at the
+threshold is missed with a probability below 10**-6, in crowds as well.
 
 Edge cases: null and empty texts, and texts without words, have no set and are linked with
 nothing; a null doc_id is linked with nothing and kept; rows that repeat, id included, are
@@ -41,6 +45,8 @@ VALUES, BITS = TREES * LEAST, 240
 #: Bytes of a value in a key: three of the first LEAST, two of deeper ones.
 PREFIX = 1 + 3 * LEAST
 MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, BITS, dtype=np.uint64) * K.U64(2) + K.U64(1)
+#: Classes of a crowded region in a block; a task compares two blocks at a time.
+BLOCK = 256
 #: Texts are looked up by a bitmap of so many bits (4 MB), which bounds what is broadcast; more documents only make it less selective.
 BITMAP = 1 << 25
 
@@ -84,6 +90,31 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature binary")
 
 
+def regions(keys: np.ndarray) -> np.ndarray:
+    """A hash of the tree and its first LEAST values, for keys by row."""
+    h = keys[:, 0].astype(np.uint64)
+    for i in range(1, PREFIX, 3):
+        v = keys[:, i : i + 3].astype(np.uint64)
+        h = K.mixed(h ^ (v[:, 0] << K.U64(16) | v[:, 1] << K.U64(8) | v[:, 2]))
+    return h
+
+
+def regions_of(signatures: list[bytes]) -> np.ndarray:
+    """The regions of each signature, a row of TREES."""
+    n = len(signatures)
+    values = np.frombuffer(b"".join(signatures), np.uint8).reshape(n, VALUES * 4 + BITS // 8)[:, : VALUES * 4].reshape(n, TREES, LEAST, 4)
+    keys = np.concatenate([np.broadcast_to(np.arange(TREES, dtype=np.uint8)[:, None], (n, TREES, 1)), values[..., :3].reshape(n, TREES, 3 * LEAST)], 2)
+    return regions(keys.reshape(n * TREES, PREFIX)).reshape(n, TREES)
+
+
+def region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """region, rep of each class and tree."""
+    for batch in batches:
+        if batch.num_rows:
+            found = regions_of(batch.column("signature").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), TREES))], ["region", "rep"])
+
+
 def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key (tree and DEPTH values, cut short), rep, sketch of each class and tree."""
     for batch in batches:
@@ -100,7 +131,13 @@ def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(least: float):
-    """From rows in sorted order: a, b, agree for classes near each other with a common prefix and alike sketches."""
+    """From rows in sorted order: a, b, agree for classes near each other with a common prefix and alike sketches;
+    and region, alone in its row, for regions that this leaves unfinished."""
+
+    def unfinished(keys: np.ndarray) -> pa.RecordBatch:
+        r = pa.array(np.unique(regions(keys)).view(np.int64))
+        none = pa.nulls(len(r), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(r), pa.float64()), r], ["a", "b", "agree", "region"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -112,7 +149,13 @@ def neighbours(least: float):
             reps = batch.column("rep").to_numpy()
             if held is not None:
                 keys, sketch, reps = (np.concatenate([x, y]) for x, y in zip(held, (keys, sketch, reps), strict=True))
+            else:
+                yield unfinished(keys[:1])
             old = 0 if held is None else len(held[2])
+            i = np.arange(max(old, NEAR + 1), len(reps))
+            i = i[(keys[i, :PREFIX] == keys[i - NEAR - 1, :PREFIX]).all(1)]
+            if len(i):
+                yield unfinished(keys[i])
             found = []
             for lag in range(1, min(NEAR, len(reps) - 1) + 1):
                 i = np.arange(max(old, lag), len(reps))
@@ -122,8 +165,10 @@ def neighbours(least: float):
                 found.append((np.minimum(reps[i], reps[i - lag])[ok], np.maximum(reps[i], reps[i - lag])[ok], agree[ok]))
             if found:
                 a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64())], ["a", "b", "agree"])
-            held = keys[-NEAR:], sketch[-NEAR:], reps[-NEAR:]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64()), pa.nulls(len(a), pa.int64())], ["a", "b", "agree", "region"])
+            held = keys[-NEAR - 1 :], sketch[-NEAR - 1 :], reps[-NEAR - 1 :]
+        if held is not None:
+            yield unfinished(held[0][-1:])
 
     return scan
 
@@ -151,6 +196,88 @@ def confirmer(width: int, percent: int):
     return confirm
 
 
+def crowd_linker(width: int, percent: int, least: float):
+    """Links (a, b) between the classes of two blocks of a region (or within one) that connect all that are alike enough.
+
+    A pair counts in the first of its common regions only, which is unfinished too, or has compared it already.
+    """
+
+    def link(table: pa.Table) -> pa.Table:
+        out = ([], [])
+        i, j, region = (table.column(c)[0].as_py() for c in ("i", "j", "region"))
+        own, reps, labels = (table.column(c).to_numpy() for c in ("own", "rep", "label"))
+        signatures = table.column("signature").to_pylist()
+        found = regions_of(signatures).view(np.int64)
+        sketch = np.zeros((len(reps), (BITS + 63) // 64 * 8), np.uint8)
+        sketch[:, : BITS // 8] = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(reps), -1)[:, VALUES * 4 :]
+        sketch = sketch.view(np.uint64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        pairs = []
+        for k in range(0, len(left), 64):
+            rows = left[k : k + 64]
+            agree = 1 - np.bitwise_count(sketch[rows, None] ^ sketch[None, right]).sum(2, dtype=np.int64) / BITS
+            ok = (agree >= least) & (labels[rows, None] != labels[None, right])
+            if i == j:
+                ok &= rows[:, None] < right[None]
+            x, y = np.nonzero(ok)
+            agree, x, y = agree[x, y], rows[x], right[y]
+            same = found[x] == found[y]
+            ok = found[x, same.argmax(1)] == region
+            ok &= same.any(1)
+            pairs.append((agree[ok], x[ok], y[ok]))
+        agree, x, y = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0), left[:0], left[:0])
+        if len(x):
+            used = np.unique(np.concatenate([x, y]))
+            unzip = zstandard.ZstdDecompressor()
+            sets, cuts = shingle_sets(pa.array([unzip.decompress(z) for z in table.column("z").take(pa.array(used)).to_pylist()], pa.binary()), width)
+            n = np.diff(cuts)
+            x, y = np.searchsorted(used, x), np.searchsorted(used, y)
+            # Sizes alone rule a pair out where the smaller set is below its share of the larger.
+            ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            order = np.flatnonzero(ok)[np.argsort(-agree[ok], kind="stable")]
+            root = {v: v for v in labels[used].tolist()}
+            label, ids = labels[used].tolist(), reps[used].tolist()
+
+            def find(v: int) -> int:
+                while root[v] != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                u, v = find(label[p]), find(label[q])
+                if u == v:
+                    continue
+                both = np.sort(np.concatenate([sets[cuts[p] : cuts[p + 1]], sets[cuts[q] : cuts[q + 1]]]))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    root[u] = v
+                    out[0].append(ids[p])
+                    out[1].append(ids[q])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return link
+
+
+def crowd_links(docs: DataFrame, reps: DataFrame, label: DataFrame, unfinished: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """a, b: links between classes of unfinished regions (region) that label (rep, component) has not connected."""
+    labelled = reps.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "signature")
+    members = reps.select("rep", "signature").mapInArrow(region_rows, "region long, rep long").join(unfinished, "region")
+    crowd = stash(members.join(labelled.select("rep", "label"), "rep"), "crowd")
+    # The largest group of connected classes meets the others only; its own pairs need nothing.
+    each = crowd.groupBy("region", "label").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    shape = sizes.select("region", F.col("top.label").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("n") - F.col("top.n")).alias("others"))
+    own = F.when(F.col("label") == F.col("top"), F.pmod(F.xxhash64("rep"), "tops")).otherwise(F.col("tops") + F.pmod(F.xxhash64("rep"), "others"))
+    first = F.when(F.col("label") == F.col("top"), F.col("tops")).otherwise(F.lit(0))
+    dealt = stash(crowd.join(shape, "region").select("region", "rep", "label", own.alias("own"), first.alias("first"), (F.col("tops") + F.col("others") - 1).alias("last")), "dealt")
+    texts = texts_of(docs, dealt.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    whole = stash(texts.join(reps.select("rep", "signature"), "rep"), "members")
+    met = dealt.join(whole, "rep").withColumn("other", F.explode(F.sequence("first", "last")))
+    met = met.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "signature", "z")
+    return stash(met.groupBy("region", "i", "j").applyInArrow(crowd_linker(width, percent, least), "a long, b long").distinct(), "links")
+
+
 def bitmap_of(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids, of fixed size, aggregated in Spark; a set bit says that an id may be among ids."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1  # positions count from 1
@@ -196,8 +323,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     agree = (1 + share) / 2
     least = agree - 5 * (agree * (1 - agree) / BITS) ** 0.5
     rows = reps.select("rep", "signature").mapInArrow(forest_rows, "key binary, rep long, sketch binary")
-    found = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(neighbours(least), "a long, b long, agree double")
-    pairs = stash(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    found = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(neighbours(least), "a long, b long, agree double, region long")
+    found = stash(found, "found")
+    pairs = stash(found.where("region is null").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
 
     texts = stash(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
 
@@ -213,7 +341,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs.join(best, ["a", "b"], "left_anti").join(place("a"), "a", "left").join(place("b"), "b", "left")
         .where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b"))
     )
-    label = components(links.unionByName(confirmed(rest))).withColumnRenamed("node", "rep")
+    links = links.unionByName(confirmed(rest))
+    label = components(links).withColumnRenamed("node", "rep")
+    more = crowd_links(docs, reps, label, found.where("region is not null").select("region").distinct(), width, percent, least)
+    if not more.isEmpty():
+        label = components(links.unionByName(more)).withColumnRenamed("node", "rep")
     owner = reps.join(label, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return (

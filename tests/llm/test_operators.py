@@ -109,6 +109,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash_forest.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """900 texts at 0.765 (78 of 102 words) share prefixes; chains of 3 with links at 0.80 run through them."""
+    common = [f"c{i}" for i in range(78)]
+    rows = []
+    for i in range(900):
+        own = [f"l{i}x", f"l{i}y"] if i % 3 else []
+        own += [f"l{i + 1}x", f"l{i + 1}y"] if i % 3 < 2 else []
+        rows.append((i, " ".join(common + own + [f"o{i}w{k}" for k in range(12 - len(own))])))
+    sets = [set(t.split()) for _, t in rows]
+    alike = {(a, b) for a in range(900) for b in range(a + 1, 900) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike == {(i, i + 1) for i in range(900) if i % 3 < 2}
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(frame(spark, rows), 1).collect()}
+    assert got == {i: i - i % 3 for i in range(900)}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
