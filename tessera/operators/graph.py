@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stash
-from .pairs import canonical, ranked
+from .pairs import _matrix, canonical, ranked, vector_pairs
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -101,48 +103,120 @@ def adaptive_neighbours(found: DataFrame, n: int, near: float) -> DataFrame:
     return ranked(found).withColumn("degree", degree).where("rank <= degree").select("src", "nbr", "dist", "rank")
 
 
-def diverse_neighbours(found: DataFrame, n: int, near: float = 1.0) -> DataFrame:
+def diverse_neighbours(vectors: DataFrame, near: float = 1.0, block: int = 1024) -> DataFrame:
     """Of each source's neighbours by distance, those that no accepted one is near to; at most log2 n.
 
-    found: src, nbr, dist (near pairs of neighbours are looked up among its own rows). The order of
-    acceptance matters, so it is a grouped function over one source's candidates.
+    vectors: id, vector. All others are candidates. The order of acceptance matters, so it is a grouped
+    function over a block of sources and all vectors; quadratic, as exact nearest neighbours are.
     """
+    n = vectors.count()
     most = max(1, int(math.log2(n))) if n > 1 else 1
-    close = found.where(F.col("dist") <= near).groupBy("src").agg(F.collect_set("nbr").alias("close"))
-    rows = ranked(found).join(close.withColumnRenamed("src", "nbr"), "nbr", "left")
-
-    def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        covered, out = set(), []
-        for r in frame.sort_values("rank").itertuples():
-            if r.nbr not in covered and len(out) < most:
-                out.append((r.src, r.nbr, r.dist))
-                covered.add(r.nbr)
-                covered.update(() if r.close is None else r.close)
-        return pd.DataFrame(out, columns=["src", "nbr", "dist"])
-
-    return rows.groupBy("src").applyInPandas(accept, "src long, nbr long, dist double")
-
-
-def compressed_neighbours(found: DataFrame, vertices: DataFrame, near: float = 1.0, m: int = 1) -> DataFrame:
+    blocks = max(1, math.ceil(n / block))
+    other = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    rows = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def accept(table: pa.Table) -> pa.Table:
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("vector"))
+        own = table.column("own").to_numpy() == table.column("block").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x, own = ids[order], x[order], own[order]
+        norm = (x * x).sum(1)
+
+        def away(i: int) -> np.ndarray:
+            # Rounded, so that copies tie.
+            return np.round(np.sqrt(np.maximum(norm + norm[i] - 2 * (x @ x[i]), 0)), 7)
+
+        out = ([], [], [])
+        for i in np.flatnonzero(own).tolist():
+            dist = away(i)
+            left = np.where(ids == ids[i], np.inf, dist)
+            for _ in range(most):
+                j = int(left.argmin())  # of equals the smallest id
+                if not np.isfinite(left[j]):
+                    break
+                for o, v in zip(out, (ids[i], ids[j], np.sqrt(((x[i] - x[j]) ** 2).sum())), strict=True):
+                    o.append(v)
+                left[away(j) <= near] = np.inf
+                left[j] = np.inf
+        return pa.table({"src": pa.array(out[0], pa.int64()), "nbr": pa.array(out[1], pa.int64()), "dist": pa.array(out[2], pa.float64())})
+
+    return rows.groupBy("block").applyInArrow(accept, "src long, nbr long, dist double")
+
+
+def near_groups(vectors: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
+    """(id, vector) of distinct vectors under their smallest id, and (id, label) of all: groups connected by distances up to `near`."""
+    node = stash(vectors.groupBy("vector").agg(F.min("id").alias("id")), "nodes")
+    at = labels(node, canonical(vector_pairs(node, "l2", blocks=blocks_of(node), within=near), "src", "nbr")).withColumnRenamed("id", "rep")
+    rep = vectors.select("id", "vector").join(node.select(F.col("id").alias("rep"), "vector"), "vector").select("id", "rep")
+    return node, stash(rep.join(at, "rep").select("id", "label"), "labels")
+
+
+def blocks_of(vectors: DataFrame) -> int:
+    """So many blocks that a product of two stays small."""
+    return max(8, math.ceil(vectors.count() / 4096))
+
+
+def compressed_neighbours(vectors: DataFrame, near: float = 1.0, m: int = 1) -> DataFrame:
     """Near vertices are united; representatives link to their m * log2 n nearest representatives."""
-    label = stash(labels(vertices, canonical(found.where(F.col("dist") <= near), "src", "nbr")), "labels")
-    n = label.select("label").distinct().count()
+    node, label = near_groups(vectors, near)
+    reps = stash(node.join(label.where("id = label").select("id"), "id").select("id", "vector"), "reps")
+    n = reps.count()
     most = m * (int(math.log2(n)) if n > 1 else 1)
-    reps = label.where("id = label").select("id")
-    among = found.join(reps.withColumnRenamed("id", "src"), "src").join(reps.withColumnRenamed("id", "nbr"), "nbr")
-    return canonical(ranked(among).where(F.col("rank") <= most), "src", "nbr")
+    return canonical(vector_pairs(reps, "l2", blocks=blocks_of(reps), most=most), "src", "nbr")
 
 
-def synergy_edges(found: DataFrame, vertices: DataFrame, near: float = 1.0) -> DataFrame:
-    """Between groups of near vertices one edge each, the shortest over `near`; a group spends its size times log2 n."""
-    label = stash(labels(vertices, canonical(found.where(F.col("dist") <= near), "src", "nbr")), "labels")
+def synergy_edges(vectors: DataFrame, near: float = 1.0) -> DataFrame:
+    """Between groups of near vertices one edge each, the shortest over `near`; a group spends its size times log2 n.
+
+    All vectors meet in pairs of blocks. What is among the shortest of a group is among its shortest in the
+    part where it lies too, so each part gives no more than the group can spend.
+    """
+    node, label = near_groups(vectors, near)
     n = max(2, label.count())
-    size = label.groupBy("label").agg(F.count("*").alias("size"))
-    at = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
-    apart = found.where(F.col("dist") > near).join(at("src"), "src").join(at("nbr"), "nbr").where("src_label < nbr_label")
-    one = apart.groupBy("src_label", "nbr_label").agg(F.min(F.struct("dist", "src", "nbr")).alias("e")).select("src_label", "nbr_label", "e.*")
+    size = label.groupBy("label").agg(F.floor(F.count("*") * F.log2(F.lit(float(n)))).alias("most"))
+    blocks = blocks_of(node)
+    # Copies have the distances of their smallest id.
+    dealt = stash(node.join(label, "id").join(size, "label").select("id", "label", "most", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")), "dealt")
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = each.select(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "label", "most", "vector")
+    right = each.select(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "label", "most", "vector")
+
+    def shortest(table: pa.Table) -> pa.Table:
+        side, ids, at, most = (table.column(c).to_numpy() for c in ("side", "id", "label", "most"))
+        x = _matrix(table.column("vector"))
+        order = np.lexsort((ids, at))
+        side, ids, at, most, x = side[order], ids[order], at[order], most[order], x[order]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = ([], [], [], [], [])
+        if len(a) and len(b):
+            norm, cols = (x * x).sum(1), np.flatnonzero(np.r_[True, at[b][1:] != at[b][:-1]])
+            ends = np.r_[cols[1:], len(b)]
+            for k in range(0, len(a), 512):
+                r = a[k : k + 512]
+                dist = np.sqrt(np.maximum(norm[r, None] + norm[b] - 2 * x[r] @ x[b].T, 0))
+                dist[(dist <= near) | (at[r, None] >= at[None, b])] = np.inf
+                low = np.minimum.reduceat(dist, cols, axis=1)
+                rows = np.flatnonzero(np.r_[True, at[r][1:] != at[r][:-1]])
+                low = np.minimum.reduceat(low, rows, axis=0)
+                for u, (s, e) in enumerate(zip(rows, np.r_[rows[1:], len(r)], strict=True)):
+                    d, m = low[u], int(most[r[s]])
+                    # Ties at the border stay in.
+                    v = np.flatnonzero(np.isfinite(d) & (d <= (np.partition(d, m - 1)[m - 1] if m < len(d) else np.inf)))
+                    p, q = np.full(len(v), s), cols[v].copy()
+                    for w in np.flatnonzero((ends[v] - cols[v]) * (e - s) > 1):
+                        part = dist[s:e, cols[v[w]] : ends[v[w]]]
+                        y = divmod(int(part.argmin()), part.shape[1])
+                        p[w], q[w] = s + y[0], cols[v[w]] + y[1]
+                    for o, z in zip(out, (at[r[p]], at[b[q]], d[v], ids[r[p]], ids[b[q]]), strict=True):
+                        o.append(z)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table({c: pa.array(np.concatenate(o) if o else [], t) for c, o, t in zip(("src_label", "nbr_label", "dist", "src", "nbr"), out, kinds, strict=True)})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(shortest, "src_label long, nbr_label long, dist double, src long, nbr long")
+    w = Window.partitionBy("src_label", "nbr_label").orderBy("dist", "src", "nbr")
+    one = found.withColumn("k", F.row_number().over(w)).where("k = 1")
     spent = one.withColumn("r", F.row_number().over(Window.partitionBy("src_label").orderBy("dist", "src", "nbr"))).join(size.withColumnRenamed("label", "src_label"), "src_label")
-    return spent.where(F.col("r") <= F.col("size") * F.log2(F.lit(float(n)))).select(F.least("src", "nbr").alias("a"), F.greatest("src", "nbr").alias("b"), "dist")
+    return spent.where("r <= most").select(F.least("src", "nbr").alias("a"), F.greatest("src", "nbr").alias("b"), "dist")
 
 
 def contract_rounds(edges: DataFrame, same: DataFrame, most: int = 50) -> DataFrame:

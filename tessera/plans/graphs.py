@@ -86,24 +86,19 @@ def gr_knn(spark: SparkSession, d: str) -> DataFrame:
     return P.canonical(P.vector_pairs(vectors(spark, d), "l2", most=10), "src", "nbr")
 
 
-def near_vectors(spark: SparkSession, d: str, most: int = 30) -> DataFrame:
-    return stash(P.vector_pairs(vectors(spark, d), "l2", most=most), "near")
-
-
 @query()
 def gr_diversity(spark: SparkSession, d: str) -> DataFrame:
-    found = near_vectors(spark, d)
-    return graph.diverse_neighbours(found, vectors(spark, d).count(), 1.1).select("src", "nbr", F.round("dist", 6).alias("dist"))
+    return graph.diverse_neighbours(vectors(spark, d), 1.1).select("src", "nbr", F.round("dist", 6).alias("dist"))
 
 
 @query()
 def gr_div_compressed(spark: SparkSession, d: str) -> DataFrame:
-    return graph.compressed_neighbours(near_vectors(spark, d), vectors(spark, d), 1.0)
+    return graph.compressed_neighbours(vectors(spark, d), 1.0)
 
 
 @query()
 def gr_synergy(spark: SparkSession, d: str) -> DataFrame:
-    return graph.synergy_edges(near_vectors(spark, d), vectors(spark, d), 1.0).select("a", "b", F.round("dist", 6).alias("dist"))
+    return graph.synergy_edges(vectors(spark, d), 1.0).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 @query()

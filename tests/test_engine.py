@@ -1,5 +1,8 @@
 """Operators on hand-made rows with known answers."""
 
+import math
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +128,44 @@ def test_nearest_vectors_are_exact(spark):
         assert got[i] == order[:4]
 
 
+def test_neighbour_graphs_with_a_group_of_copies(spark):
+    """A group of 50 near copies, 10 of them exact, among groups of 2 and single vectors, against brute force."""
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=4)
+    x = [hot + rng.normal(size=4) * (0.02 if i < 40 else 0) for i in range(50)]
+    for i in range(30):
+        v = rng.normal(size=4) * 4
+        x += [v, v + 0.1] if i % 2 else [v]
+    x = np.array(x)[rng.permutation(len(x))]
+    n, near = len(x), 1.0
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    most = int(math.log2(n))
+    label = list(range(n))
+    for _ in range(n):
+        label = [min(label[j] for j in range(n) if dist[i, j] <= near) for i in range(n)]
+
+    diverse = set()
+    for i in range(n):
+        covered, got = set(), 0
+        for j in sorted((j for j in range(n) if j != i), key=lambda j: (dist[i, j], j)):
+            if j not in covered and got < most:
+                diverse.add((i, j))
+                got += 1
+                covered |= {k for k in range(n) if dist[j, k] <= near}
+    reps = sorted(set(label))
+    compressed = {(min(i, j), max(i, j)) for i in reps for j in sorted((j for j in reps if j != i), key=lambda j: (dist[i, j], j))[: int(math.log2(len(reps)))]}
+    synergy = set()
+    for u in reps:
+        own = [i for i in range(n) if label[i] == u]
+        best = [min((dist[i, j], i, j) for i in own for j in range(n) if label[j] == v and dist[i, j] > near) for v in reps if v > u]
+        synergy |= {(min(i, j), max(i, j)) for _, i, j in sorted(best)[: int(len(own) * math.log2(n))]}
+
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    assert {(r["src"], r["nbr"]) for r in graph.diverse_neighbours(frame, near, 32).collect()} == diverse
+    assert {(r["a"], r["b"]) for r in graph.compressed_neighbours(frame, near).collect()} == compressed
+    assert {(r["a"], r["b"]) for r in graph.synergy_edges(frame, near).collect()} == synergy
+
+
 def test_simulated_review(spark):
     rows = pairs_of(spark, [(i, i + 1, 0.5) for i in range(200)]).withColumn("truth", F.col("a") % 2 == 0)
     assert active.simulated(rows, 1.0).where("answer <> truth").count() == 0
