@@ -7,6 +7,7 @@ offsets, words are found with a 256-entry class table, and polynomial prefix sum
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,6 +67,20 @@ class RangeHash:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def all(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of `width` values."""
+        n = len(self.sums) - width
+        return mixed((self.sums[width:] - self.sums[:n]) * self.down[:n])
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: workers are used again by later stages, which would find it gone."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on every C library
+        pass
+
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; null is empty."""

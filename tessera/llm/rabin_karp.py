@@ -53,8 +53,8 @@ def unpacked(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def repeated_elsewhere(sent: DataFrame) -> DataFrame:
-    """chunk, masks: for each range of a chunk's hashes, bits that say which of them other chunks sent too.
+def repeated_elsewhere(sent: DataFrame, hot: int | None = None) -> DataFrame:
+    """chunk, masks: for each range of a chunk's hashes, bits that say which of them other chunks sent too, and (hot, else null) which more than `hot` chunks sent.
 
     sent: range, chunk, blob (planes of sorted distinct 64-bit hashes, one after the other for each 64 bits of width).
     """
@@ -73,13 +73,18 @@ def repeated_elsewhere(sent: DataFrame) -> DataFrame:
         twice = np.zeros(len(keys), dtype=bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
+        often = np.zeros(len(keys) if hot else 0, dtype=bool)
+        if hot:
+            head = np.flatnonzero(np.concatenate([[True], ~same]))
+            size = np.diff(np.append(head, len(keys)))
+            often[order] = np.repeat(size > hot, size)
         ends = np.cumsum([len(p) for p in parts])
         found = [(c, e - len(p), e) for c, p, e in zip(chunks, parts, ends.tolist(), strict=True)]
-        found = [(c, np.packbits(twice[a:b]).tobytes()) for c, a, b in found if twice[a:b].any()]
+        found = [(c, np.packbits(twice[a:b]).tobytes(), np.packbits(often[a:b]).tobytes() if often[a:b].any() else None) for c, a, b in found if twice[a:b].any()]
         at = table.column("range")[0].as_py()
-        return pa.table({"chunk": pa.array([c for c, _ in found], pa.int64()), "range": pa.array([at] * len(found), pa.int32()), "bits": pa.array([m for _, m in found], pa.binary())})
+        return pa.table({"chunk": pa.array([c for c, _, _ in found], pa.int64()), "range": pa.array([at] * len(found), pa.int32()), "bits": pa.array([m for _, m, _ in found], pa.binary()), "hot": pa.array([h for _, _, h in found], pa.binary())})
 
-    return sent.groupBy("range").applyInArrow(count, "chunk long, range int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("masks"))
+    return sent.groupBy("range").applyInArrow(count, "chunk long, range int, bits binary, hot binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "hot")).alias("masks"))
 
 
 class Hashed:

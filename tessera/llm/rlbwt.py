@@ -6,21 +6,30 @@ doc_id, or same text and earlier start). Three steps:
 1. Anchors. In each window of `width` bytes the k-gram of smallest hash (leftmost of
    equals) is its anchor. Equal windows have equal anchors at equal offsets, so a window
    whose anchor occurs nowhere else cannot be repeated. Chunks of text exchange their
-   distinct anchor hashes (see rabin_karp) and learn which of them occur elsewhere.
+   distinct anchor hashes (see rabin_karp) and learn which of them occur elsewhere, and
+   which are hot (in more than HOT chunks).
 2. Index. The windows of one occurrence of a repeated anchor are contiguous; their bytes
-   are a snippet. Chunks send each distinct snippet once (its first occurrence), so hot
-   passages cost one snippet a chunk. All snippets of an anchor meet in one task, which
-   sets windows aside whose hash no other snippet has, builds a suffix array over the
-   distinct parts that are left, turns it into a run-length compressed
-   BWT with samples at run ends, and streams the snippets through it by backward steps.
-   The row reached after each step tells the match interval of length >= `width`; a
-   window is marked if the first text of its interval isn't its own occurrence.
+   are a snippet. Hot anchors have shorter snippets, each of STEP windows at most, which meet
+   by the bytes that all those windows hold: a second, longer k-gram that splits the anchor. Chunks send
+   each distinct snippet once (its first occurrence). All snippets of an anchor meet in one
+   task. There the older half of each group goes into an index and the younger half is
+   streamed through it, pair by pair of ever larger blocks; what is found leaves the block,
+   so an index holds first occurrences only. The index is a run-length compressed BWT: run
+   heads, run starts and the suffix array sampled at both ends of each run. Matching
+   statistics (length and position of the longest match of each suffix of a snippet) come
+   from backward steps: a step that leaves the run goes to the next run of the wanted byte
+   above or below, whose sample gives the text to compare with. A window is marked where
+   the statistic is `width` or more.
 3. Marks go back to the chunks as bits, in which spans are merged.
 
+Hashes only propose which windows are first occurrences; windows whose 64-bit hash no other
+snippet of the task has are neither indexed nor streamed, and snippets, or parts of them,
+that are equal byte for byte (compared, not only by hash) are streamed once for all.
+
 Edge cases: null and empty texts, and texts shorter than `width`, stay whole; a row that
 repeats with its id counts as later than the one met first (by chunk and place); a null
 doc_id counts as later than all others; very long texts are chunks of their own; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; of other columns those named in `columns` are carried along.
 """
 
 from __future__ import annotations
@@ -38,43 +47,61 @@ from . import kernel as K
 from .rabin_karp import chunked, repeated_elsewhere, unpacked
 from .shared import power_of_two, stash, text_bytes, with_fields
 
-#: A chunk takes about 150 bytes of working memory a byte.
+#: A chunk takes about 100 bytes of working memory a byte.
 CHUNK_BYTES = 1 << 18
 RANGE_BYTES = 4 << 20
-#: An index is built over about so many bytes of distinct snippets; anchors are never split.
-INDEX_BYTES = 1 << 20
+#: An index is built over about so many bytes; more are indexed in parts, one after the other.
+INDEX_BYTES = 1 << 19
+#: A task works on so many bytes of snippets at once, whole anchors.
+WORK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 KGRAM = 40
+#: Anchors in more chunks than HOT are split by the bytes that STEP windows have in common.
+HOT, STEP = 512, 8
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+
+
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """For each run of windows with one anchor: the number of windows, and where the anchor is in the first (two rows)."""
+    n, k = len(data), min(KGRAM, width)
+    fits = window_starts(offsets, width)
+    if not len(fits):
+        return np.zeros((2, 0), np.uint16)
+    grams = K.RangeHash(K.byte_table(40, False)[data], 0x5851F42D4C957F2D).all(k)
+    low = K.U64(int(n).bit_length())
+    best = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
+    span, w = 1, width - k + 1
+    while span * 2 <= w:
+        best = np.minimum(best[:-span], best[span:])
+        span *= 2
+    if span < w:
+        best = np.minimum(best[: len(best) - (w - span)], best[w - span :])
+    anchor = (best[fits] & K.U64((1 << int(low)) - 1)).astype(np.int64)
+    new = np.ones(len(fits), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1] + 1)
+    first = np.flatnonzero(new)
+    return np.stack([np.diff(np.append(first, len(fits))), anchor[first] - fits[first]]).astype(np.uint16)
+
+
+def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Where windows start, in order."""
+    n = np.maximum(np.diff(offsets) - width + 1, 0)
+    return spread(offsets[:-1], n)
 
 
 class Anchored:
     """The anchor occurrences of a chunk: for each the first window, the number of windows and the anchor's hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, ranges: int):
-        self.data, self.offsets, self.width = data, offsets, width
-        n, k = len(data), min(KGRAM, width)
-        assert width >= FIRST_SPAN, "shorter strings are not worth an index"
-        self.start = self.n = np.zeros(0, np.int64)
-        hashes = np.zeros(0, np.uint64)
-        if n >= width:
-            at = np.arange(n - k + 1)
-            grams = K.RangeHash(K.byte_table(40, False)[data], 0x5851F42D4C957F2D).of(at, at + k)
-            low = int(n).bit_length()
-            best = (grams >> K.U64(low) << K.U64(low)) | at.astype(np.uint64)
-            span, w = 1, width - k + 1
-            while span * 2 <= w:
-                best = np.minimum(best[:-span], best[span:])
-                span *= 2
-            if span < w:
-                best = np.minimum(best[: len(best) - (w - span)], best[w - span :])
-            fits = np.repeat(offsets[1:], np.diff(offsets))[: n - width + 1] - np.arange(n - width + 1) >= width
-            s = np.flatnonzero(fits)
-            if len(s):
-                anchor = (best[s] & K.U64((1 << low) - 1)).astype(np.int64)
-                new = np.ones(len(s), dtype=bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1)
-                first = np.flatnonzero(new)
-                self.start, self.n, hashes = s[first], np.diff(np.append(first, len(s))), grams[anchor[first]]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, runs: np.ndarray, width: int, ranges: int):
+        self.data, self.offsets, self.width, self.ranges = data, offsets, width, ranges
+        self.n, ahead = runs.astype(np.int64)
+        fits = window_starts(offsets, width)
+        self.start = fits[np.cumsum(self.n) - self.n]
+        self.anchor = self.start + ahead
+        hashes = K.RangeHash(K.byte_table(40, False)[data], 0x5851F42D4C957F2D).of(self.anchor, self.anchor + min(KGRAM, width))
         self.keys, self.place, self.count = np.unique(hashes, return_inverse=True, return_counts=True)
         self.cuts = range_cuts(self.keys, ranges)
 
@@ -82,31 +109,52 @@ class Anchored:
         for i in np.flatnonzero(np.diff(self.cuts)).tolist():
             yield i, K.planes(self.keys[self.cuts[i] : self.cuts[i + 1]])
 
-    def snippets(self, masks: list[dict] | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences with repeated anchors, by anchor hash and age, and which of them repeat an older snippet of the chunk."""
-        twice = self.count > 1
+    def snippets(self, masks: list[dict] | None, ids: np.ndarray) -> dict[str, np.ndarray]:
+        """Snippets with repeated anchors, by key and age: start, n, key, row, and again, which of them repeat an older one of the chunk."""
+        twice, hot = self.count > 1, np.zeros(len(self.keys), dtype=bool)
         for m in masks or ():
             a, b = self.cuts[m["range"]], self.cuts[m["range"] + 1]
-            twice[a:b] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).astype(bool)
+            twice[a:b] |= unpacked_bits(m["bits"], b - a)
+            if m["hot"]:
+                hot[a:b] = unpacked_bits(m["hot"], b - a)
         own = np.flatnonzero(twice[self.place])
-        row = np.searchsorted(self.offsets, self.start[own], "right") - 1
-        own = own[np.lexsort((self.start[own], row, ids[row], self.place[own]))]
-        a, b = content_hashes(self.data, self.start[own], self.start[own] + self.n[own] + self.width - 1)
-        # own is in order of age for each anchor, and equal snippets have equal anchors: the first of equals is the oldest.
-        order = np.lexsort((np.arange(len(own)), b, a))
-        again = np.zeros(len(own), dtype=bool)
-        again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-        return own, again
+        start, n, key = self.start[own], self.n[own], self.keys[self.place[own]]
+        split = hot[self.place[own]]
+        if split.any():
+            parts = self.split(start[split], n[split], self.anchor[own][split])
+            start, n, key = (np.concatenate([x[~split], y]) for x, y in zip((start, n, key), parts, strict=True))
+        row = np.searchsorted(self.offsets, start, "right") - 1
+        order = np.lexsort((start, row, ids[row], key))
+        start, n, key, row = start[order], n[order], key[order], row[order]
+        length = n + self.width - 1
+        first = first_of_equals(self.data, start, length, key, np.arange(len(start)))
+        return {"start": start, "n": n, "key": key, "row": row, "length": length, "again": first != np.arange(len(start)), "cuts": range_cuts(key, self.ranges)}
+
+    def split(self, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Snippets of hot anchors, cut where the anchor's place in the window passes a multiple of STEP; their key is a hash of what all such windows hold."""
+        at = spread(start, n)
+        turn = (np.repeat(anchor, n) - at) // STEP
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (turn[1:] != turn[:-1]) | (at[1:] != at[:-1] + 1)
+        # A run of one snippet may go on in the next; their anchors differ.
+        new[np.cumsum(n)[:-1]] = True
+        first = np.flatnonzero(new)
+        begin = np.repeat(anchor, n)[first] - turn[first] * STEP
+        key = K.RangeHash(K.byte_table(43, False)[self.data], 0x2545F4914F6CDD1D).of(begin, begin + max(self.width - STEP + 1, 1))
+        return at[first], np.diff(np.append(first, len(at))), K.mixed(key ^ K.mixed(turn[first].astype(np.uint64) + K.U64(1)))
+
+
+def unpacked_bits(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def content_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of byte ranges, with their lengths."""
-    one = K.RangeHash(K.byte_table(41, False)[data], 0x2545F4914F6CDD1D).of(start, end)
-    two = K.RangeHash(K.byte_table(42, False)[data], 0x369DEA0F31A53F85).of(start, end)
-    return one, two ^ K.mixed((end - start).astype(np.uint64))
+def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of `ranges` (a power of two over 1) equal parts of the hash values begins in sorted keys."""
+    shift = K.U64(64 - int(ranges).bit_length() + 1)
+    return np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
 
 
-def blocks(lengths: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
+def blocks(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
     """Parts of ranges of these lengths with about `most` bytes each."""
     ends, at = np.cumsum(lengths), 0
     while at < len(lengths):
@@ -115,10 +163,39 @@ def blocks(lengths: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
         at = to
 
 
-def range_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """content_hashes of byte ranges, a block at a time."""
-    out = [content_hashes(data[spread(begin[p], length[p])], np.cumsum(length[p]) - length[p], np.cumsum(length[p])) for p in blocks(length)]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
+def range_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, a block at a time."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    for p in blocks(length):
+        ends = np.cumsum(length[p])
+        out[p] = K.RangeHash(K.byte_table(41, False)[data[spread(begin[p], length[p])]], 0x2545F4914F6CDD1D).of(ends - length[p], ends)
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of these lengths at a and b are equal byte for byte."""
+    out = np.empty(len(a), dtype=bool)
+    for p in blocks(length):
+        same = data[spread(a[p], length[p])] == data[spread(b[p], length[p])]
+        out[p] = np.logical_and.reduceat(same, np.cumsum(length[p]) - length[p])
+    return out
+
+
+def first_of_equals(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """For each byte range the number of the oldest equal one with its key: itself, if there is none. Hashes propose, bytes decide."""
+    out = np.arange(len(begin))
+    h = K.mixed(range_hashes(data, begin, length) ^ K.mixed(length.astype(np.uint64)) ^ key)
+    order = np.lexsort((age, h))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = h[order[1:]] == h[order[:-1]]
+    head = np.flatnonzero(~same)
+    first = order[np.repeat(head, np.diff(np.append(head, len(order))))]
+    x, y = order[same], first[same]
+    fine = (length[x] == length[y]) & (key[x] == key[y])
+    x, y = x[fine], y[fine]
+    equal = same_bytes(data, begin[x], begin[y], length[x])
+    out[x[equal]] = y[equal]
+    return out
 
 
 def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
@@ -134,30 +211,21 @@ def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width
 
 def has_equal(a: np.ndarray) -> np.ndarray:
     """Which values occur more than once."""
-    in_order = np.sort(a)
-    again = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+    order = np.argsort(a)
+    in_order = a[order]
+    same = in_order[1:] == in_order[:-1]
     out = np.zeros(len(a), dtype=bool)
-    for i in range(0, len(a) if len(again) else 0, 1 << 18):
-        part = a[i : i + (1 << 18)]
-        out[i : i + (1 << 18)] = again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
     return out
 
 
-def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of `ranges` (a power of two over 1) equal parts of the hash values begins in sorted keys."""
-    shift = K.U64(64 - int(ranges).bit_length() + 1)
-    return np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
-
-
 #: So many codes of nine bits make the first sort key.
 FIRST_SPAN = 7
 
 
-def suffix_order(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The suffix array of codes (below 512, the last one smallest), and ranks of its suffixes by their first `span` codes, with span.
-
-    Prefix doubling; span is the last one that isn't over width, so that two overlapping spans make a width.
-    """
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """The suffix array of codes (below 512, the last one smallest and alone), by prefix doubling."""
     n = len(codes)
     padded = np.zeros(n + FIRST_SPAN, dtype=np.uint64)
     padded[:n] = codes
@@ -165,227 +233,280 @@ def suffix_order(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     for i in range(FIRST_SPAN):
         key = (key << K.U64(9)) | padded[i : n + i]
     span = FIRST_SPAN
-    short, short_span = None, 0
     while True:
         order = np.argsort(key)
         in_order = key[order]
-        new = np.zeros(n, dtype=np.int64)
-        new[1:] = in_order[1:] != in_order[:-1]
-        number = np.cumsum(new)
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = number
-        if span <= width:
-            short, short_span = rank, span
+        number = np.zeros(n, dtype=np.uint64)
+        np.cumsum(in_order[1:] != in_order[:-1], out=number[1:])
         if number[-1] == n - 1:
-            return order, short, short_span
-        following = np.zeros(n, dtype=np.uint64)
-        following[:-span] = rank[span:] + 1
-        key = (rank.astype(np.uint64) << K.U64(32)) | following
+            return order.astype(np.int32)
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = number
+        key = rank << K.U64(32)
+        key[:-span] |= rank[span:] + K.U64(1)
         span *= 2
 
 
 class RunIndex:
-    """A run-length compressed BWT with the suffix array sampled at run ends.
+    """A run-length compressed BWT of texts, with the suffix array sampled at both ends of each run.
 
-    Built over distinct snippets, each followed by a terminator. The terminator's code is
-    1, byte b has code b + 2, and a 0 ends the whole.
+    Each text is followed by a terminator of code 1; byte b has code b + 2, and a 0 ends
+    the whole. The suffix array itself is not kept.
     """
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, width: int):
-        self.lengths, self.width = lengths, width
-        self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+    def __init__(self, data: np.ndarray, lengths: np.ndarray):
         n = int(lengths.sum() + len(lengths)) + 1
-        codes = np.ones(n, dtype=np.uint16)
-        codes[-1] = 0
-        inside = np.repeat(self.begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-        codes[inside] = data.astype(np.uint16) + 2
-        order, rank, span = suffix_order(codes, width)
-        bwt = codes[order - 1]
+        begin = np.cumsum(lengths + 1) - lengths - 1
+        self.codes = np.ones(n, dtype=np.uint16)
+        self.codes[-1] = 0
+        self.codes[spread(begin, lengths)] = data.astype(np.uint16) + 2
+        order = suffix_order(self.codes)
+        bwt = self.codes[order - 1]
         edge = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.run_start, self.head = edge, bwt[edge]
-        sizes = np.diff(np.append(edge, n))
-        self.end_sample = order[np.append(edge[1:], n) - 1]
-        before = np.bincount(codes, minlength=258).cumsum() - np.bincount(codes, minlength=258)
-        by_head = np.argsort(self.head, kind="stable")
-        so_far = np.cumsum(sizes[by_head]) - sizes[by_head]
-        first_of = np.searchsorted(self.head[by_head], np.arange(258))
-        #: For each run: the row that LF gives its first row.
+        ends = np.append(edge[1:], n)
+        self.run_start, self.run_end, self.head = edge, ends - 1, bwt[edge]
+        self.start_sample, self.end_sample = order[edge].astype(np.int64), order[ends - 1].astype(np.int64)
+        sizes = ends - edge
+        #: Runs by head and place: `place` of the runs of code c are c * (number of runs) + run, in order.
+        self.by_head = np.argsort(self.head, kind="stable")
+        self.place = self.head[self.by_head].astype(np.int64) * len(edge) + self.by_head
+        #: For each run: the row that LF gives its first row. Rows of the first column are in order of codes, and of one code in order of its runs.
         self.target = np.empty(len(edge), dtype=np.int64)
-        self.target[by_head] = before[self.head[by_head]] + so_far - so_far[np.minimum(first_of[self.head[by_head]], len(edge) - 1)]
-        #: Rows share their first `width` codes with the row above iff the ranks of two overlapping spans agree; ranks
-        #: that are all different have been found over fewer codes, and then no rows share that many.
-        later = np.minimum(order + max(0, width - span), n - 1)
-        same = (rank[order[1:]] == rank[order[:-1]]) & (rank[later[1:]] == rank[later[:-1]])
-        self.interval = np.concatenate([[0], np.cumsum(~same)])
-        terminators = np.flatnonzero(codes == 1)
-        self.row_of_end = np.empty(len(lengths), dtype=np.int64)
-        rows = np.flatnonzero(codes[order] == 1)
-        self.row_of_end[np.searchsorted(terminators, order[rows])] = rows
-
-    def lf(self, rows: np.ndarray) -> np.ndarray:
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.target[run] + rows - self.run_start[run]
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Snippet, window and match interval of every window, from backward steps of all snippets at once."""
-        by_length = np.argsort(-self.lengths, kind="stable")
-        length = self.lengths[by_length]
-        rows = self.row_of_end[by_length]
-        found = []
-        for step in range(1, int(length[0]) + 1 if len(length) else 0):
-            live = int(np.searchsorted(-length, -step, "right"))
-            rows = self.lf(rows[:live])
-            if step >= self.width:
-                found.append((by_length[:live], length[:live] - step, self.interval[rows]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def marks_of(data: np.ndarray, lengths: np.ndarray, age: np.ndarray, width: int) -> np.ndarray:
-    """For snippets (bytes one after the other, lengths, rank by age): a flag for each window, set if an older snippet has it.
-
-    A window occurs once in a snippet at most at the same distance from its anchor, and
-    equal windows have equal anchors; so the oldest snippet has the oldest occurrence.
+        self.target[self.by_head] = np.cumsum(sizes[self.by_head]) - sizes[self.by_head]
+
+    def statistics(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of patterns (ranges of data), longest first, from their ends: at each step the patterns
+        (numbers) that still go on, their places, and length and position of the longest match that starts there."""
+        by_length = np.argsort(-length, kind="stable")
+        sorted_length = length[by_length]
+        m = len(by_length)
+        row, pos, size = (np.zeros(m, dtype=np.int64) for _ in range(3))
+        runs = len(self.head)
+        for step in range(1, int(sorted_length[0]) + 1 if m else 0):
+            live = int(np.searchsorted(-sorted_length, -step, "right"))
+            if live < m:
+                row, pos, size, m = row[:live], pos[:live], size[:live], live
+            at = sorted_length[:live] - step
+            here = begin[by_length[:live]] + at
+            code = data[here].astype(np.int64) + 2
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            off = np.flatnonzero(self.head[run] != code)
+            if len(off):
+                wanted = code[off] * runs
+                next_one = np.searchsorted(self.place, wanted + run[off])
+                below = self.place[np.minimum(next_one, runs - 1)] - wanted
+                above = self.place[np.maximum(next_one - 1, 0)] - wanted
+                has_below = (next_one < runs) & (below >= 0) & (below < runs)
+                has_above = (next_one > 0) & (above >= 0) & (above < runs)
+                below, above = np.where(has_below, below, 0), np.where(has_above, above, 0)
+                one = self.common(data, here[off] + 1, self.start_sample[below], np.where(has_below, size[off], 0))
+                two = self.common(data, here[off] + 1, self.end_sample[above], np.where(has_above, size[off], 0))
+                down = has_below & ((one > two) | ~has_above)
+                run[off] = np.where(down, below, above)
+                row[off] = np.where(down, self.run_start[below], self.run_end[above])
+                pos[off] = np.where(down, self.start_sample[below], self.end_sample[above])
+                size[off] = np.where(has_below | has_above, np.where(down, one, two), -1)
+            row = self.target[run] + row - self.run_start[run]
+            pos, size = pos - 1, size + 1
+            none = size <= 0  # a byte that no text holds: begin anew at any row
+            row[none] = 0
+            yield by_length[:live], at, size, pos
+
+    def common(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes data from a and the texts from b have in common, up to `most`."""
+        out = np.zeros(len(a), dtype=np.int64)
+        live = np.flatnonzero(most > 0)
+        ahead = np.arange(16)
+        while len(live):
+            x = data[np.minimum(a[live, None] + out[live, None] + ahead, len(data) - 1)].astype(np.uint16) + 2
+            y = self.codes[np.minimum(b[live, None] + out[live, None] + ahead, len(self.codes) - 1)]
+            differ = x != y
+            n = np.where(differ.any(1), differ.argmax(1), 16)
+            out[live] += n
+            live = live[(n == 16) & (out[live] < most[live])]
+        return np.minimum(out, most)
+
+
+def runs_of(flags: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of set flags within parts (the part of each flag): where they begin and end."""
+    same = part[1:] == part[:-1]
+    head, tail = flags.copy(), flags.copy()
+    head[1:] &= ~(flags[:-1] & same)
+    tail[:-1] &= ~(flags[1:] & same)
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
+def marks_of(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, group: np.ndarray, age: np.ndarray, width: int) -> np.ndarray:
+    """For parts of snippets (first byte, number of windows; in order of group): a flag for each window, set if an older part of its group holds it too.
+
+    Of windows with one hash the oldest is indexed and the others are streamed. What isn't
+    found, though an older window has its hash, differs from that one: it goes into a next round.
     """
-    index = RunIndex(data, lengths, width)
-    snippet, window, interval = index.stream()
-    oldest = np.full(int(interval.max()) + 1 if len(interval) else 1, LAST)
-    np.minimum.at(oldest, interval, age[snippet])
-    first = np.concatenate([[0], np.cumsum(lengths - width + 1)])
-    out = np.zeros(int(first[-1]), dtype=bool)
-    out[first[snippet] + window] = oldest[interval] < age[snippet]
+    first = np.cumsum(windows) - windows
+    marks = np.zeros(int(windows.sum()), dtype=bool)
+    part = np.repeat(np.arange(len(windows)), windows)
+    hashes = window_hashes(data, begin, windows + width - 1, width)
+    open_ = np.arange(len(marks))
+    while len(open_):
+        by_hash = open_[np.lexsort((age[part[open_]], hashes[open_]))]
+        same = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
+        again, followed = np.append(False, same), np.append(same, False)
+        texts = runs_of(flagged(len(marks), by_hash[~again & followed]), part)
+        asked = runs_of(flagged(len(marks), by_hash[again]), part)
+        (text_part, text_begin, text_windows), (ask_part, ask_begin, ask_windows) = ((part[a], begin[part[a]] + a - first[part[a]], b - a) for a, b in (texts, asked))
+        for p in blocks(text_windows + width, INDEX_BYTES):
+            length = text_windows[p] + width - 1
+            index = RunIndex(data[spread(text_begin[p], length)], length)
+            text_age, ends = age[text_part[p]], np.cumsum(length + 1)
+            groups = group[ask_part]
+            lo, hi = np.searchsorted(groups, group[text_part[p.start]], "left"), np.searchsorted(groups, group[text_part[p.stop - 1]], "right")
+            for q in blocks(ask_windows[lo:hi] + width, INDEX_BYTES):
+                mine = slice(lo + q.start, lo + q.stop)
+                own_age, at = age[ask_part[mine]], asked[0][mine]
+                for which, place, n, pos in index.statistics(data, ask_begin[mine], ask_windows[mine] + width - 1):
+                    hit = np.flatnonzero(n >= width)
+                    hit = hit[text_age[np.searchsorted(ends, pos[hit], "right")] < own_age[which[hit]]]
+                    marks[at[which[hit]] + place[hit]] = True
+        open_ = by_hash[again & ~marks[by_hash]]
+    return marks
+
+
+def flagged(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[at] = True
     return out
 
 
 def indexed(table: pa.Table, width: int) -> pa.Table:
     """chunk, range, bits: marks of all windows of the snippets that each chunk sent for this range."""
     unzip = zstandard.ZstdDecompressor()
-    blobs = [unzip.decompress(b) for b in table.column("blob").to_pylist()]
+    blobs = [unzip.decompress(b.as_py()) for b in table.column("blob")]
     chunks = table.column("chunk").to_pylist()
     heads, texts, source = [], [], []
     for i, b in enumerate(blobs):
         m = int.from_bytes(b[:8], "little")
         heads.append(np.frombuffer(b, np.int64, 4 * m, 8).reshape(4, m))
         texts.append(np.frombuffer(b, np.uint8, offset=8 + 32 * m))
-        source.append(np.full(m, i))
+        source.append(np.full(m, i, np.int32))
     head, data, source = np.concatenate(heads, 1), np.concatenate(texts), np.concatenate(source)
+    counts = [len(x[0]) for x in heads]
+    del blobs, heads, texts
     key, doc, start, lengths = head[0].view(np.uint64), head[1], head[2], head[3]
-    begin = np.concatenate([[0], np.cumsum(lengths)])
+    begin = np.cumsum(lengths) - lengths
     order = np.lexsort((start, np.array(chunks)[source], doc))
     age = np.empty(len(order), dtype=np.int64)
     age[order] = np.arange(len(order))
-    a, b = range_hashes(data, begin[:-1], lengths)
-    by_content = np.lexsort((age, b, a, key))
-    new = np.ones(len(by_content), dtype=bool)
-    x, y = by_content[1:], by_content[:-1]
-    new[1:] = (a[x] != a[y]) | (b[x] != b[y]) | (key[x] != key[y])
-    distinct = by_content[new]  # the oldest of equals, by anchor
     count = lengths - width + 1
     first = np.concatenate([[0], np.cumsum(count)])
-    marks = np.ones(int(first[-1]), dtype=bool)
-    own = np.repeat(np.arange(len(distinct), dtype=np.int32), count[distinct])
-    marks[spread(first[distinct], count[distinct])] = False
-    # Only windows whose 64-bit hash another snippet has too need the index (which confirms them): around a passage
-    # that many texts share, the snippets differ in what is before and behind it, and those windows are unique.
-    shared = has_equal(window_hashes(data, begin[:-1][distinct], lengths[distinct], width))
-    head = shared.copy()
-    head[1:] &= ~(shared[:-1] & (own[1:] == own[:-1]))
-    run = np.flatnonzero(head)
-    tail = shared.copy()
-    tail[:-1] &= ~(shared[1:] & (own[1:] == own[:-1]))
-    windows = np.flatnonzero(tail) + 1 - run
-    snippet = distinct[own[run]]
-    offset = run - np.searchsorted(own, own[run])
-    sub_begin, sub_length, sub_mark = begin[snippet] + offset, windows + width - 1, first[snippet] + offset
-    # Of equal parts of snippets the oldest goes on; the others are marked.
-    a, b = range_hashes(data, sub_begin, sub_length)
-    order = np.lexsort((age[snippet], b, a, key[snippet]))
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]]) & (key[snippet[order[1:]]] == key[snippet[order[:-1]]])
-    again = order[same]
-    marks[spread(sub_mark[again], windows[again])] = True
-    order = order[~same]
-    size = np.cumsum(sub_length[order] + 1)
-    group_end = np.flatnonzero(np.append(key[snippet[order[1:]]] != key[snippet[order[:-1]]], True)) + 1 if len(order) else np.zeros(0, np.int64)
-    at = 0
-    while at < len(order):
-        done = size[at - 1] if at else 0
-        cut = int(np.searchsorted(size[group_end - 1], done + INDEX_BYTES, "right"))
-        to = int(group_end[max(cut - 1, int(np.searchsorted(group_end, at, "right")))])
-        part = order[at:to]
-        found = marks_of(data[spread(sub_begin[part], sub_length[part])], sub_length[part], age[snippet[part]], width)
-        marks[spread(sub_mark[part], windows[part])] = found
-        at = to
-    edges = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(blobs)))])
-    bits = [np.packbits(marks[first[edges[i]] : first[edges[i + 1]]]).tobytes() for i in range(len(blobs))]
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "range": pa.array([table.column("range")[0].as_py()] * len(blobs), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    marks = np.zeros(int(first[-1]), dtype=bool)
+    by_key = np.lexsort((age, key))
+    edge = np.flatnonzero(np.concatenate([[True], key[by_key[1:]] != key[by_key[:-1]]]))
+    sizes = np.add.reduceat(lengths[by_key], edge)
+    edge = np.append(edge, len(by_key))
+    for p in blocks(sizes, WORK_BYTES):
+        own = by_key[edge[p.start] : edge[p.stop]]
+        mark_anchors(data, begin[own], lengths[own], key[own], age[own], first[:-1][own], width, marks)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    bits = [np.packbits(marks[first[a] : first[b]]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "range": pa.array([table.column("range")[0].as_py()] * len(bits), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
+def mark_anchors(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key: np.ndarray, age: np.ndarray, mark: np.ndarray, width: int, marks: np.ndarray) -> None:
+    """Sets marks (each snippet's begin at `mark`) for all windows of whole groups of snippets that an older one holds."""
+    count = length - width + 1
+    older = first_of_equals(data, begin, length, key, age)
+    again = older != np.arange(len(older))
+    marks[spread(mark[again], count[again])] = True
+    # Only windows whose hash another snippet has too can be found in an index.
+    own = np.flatnonzero(~again)
+    shared = has_equal(window_hashes(data, begin[own], length[own], width))
+    snippet = np.repeat(own, count[own])
+    window = spread(np.zeros(len(own), np.int64), count[own])
+    a, b = runs_of(shared, snippet)
+    snippet, offset, windows = snippet[a], window[a], b - a
+    begin, mark, key, age = begin[snippet] + offset, mark[snippet] + offset, key[snippet], age[snippet]
+    older = first_of_equals(data, begin, windows + width - 1, key, age)
+    again = older != np.arange(len(older))
+    marks[spread(mark[again], windows[again])] = True
+    own = np.flatnonzero(~again)
+    marks[spread(mark[own], windows[own])] = marks_of(data, begin[own], windows[own], key[own], age[own], width)
 
 
 def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None = None) -> DataFrame:
     """docs' columns (doc_id and text, or those named) with spans, maximal runs [start, end) of bytes to remove.
 
-    docs: doc_id (integer), text.
+    docs: doc_id (integer), text. width: from FIRST_SPAN to 65,535.
     """
+    assert FIRST_SPAN <= width < 1 << 16
     ranges = power_of_two(text_bytes(docs, "text") / RANGE_BYTES, 256, 1 << 20)
     docs = docs.select(columns or ["doc_id", "text"])
-    chunks = stash(chunked(docs, CHUNK_BYTES), "chunks")
 
-    def loaded(payload: bytes) -> tuple[pa.Table, Anchored, np.ndarray]:
-        rows = unpacked(payload)
-        ids = rows.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
-        return rows, Anchored(*K.text_buffer(rows.column("text")), width, ranges), ids
+    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            runs = [pack.compress(anchor_runs(*K.text_buffer(unpacked(p.as_py()).column("text")), width).tobytes()) for p in batch.column("payload")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.binary())], [*batch.schema.names, "runs"])
+            K.give_back()
+
+    chunks = stash(chunked(docs, CHUNK_BYTES).mapInArrow(find_anchors, "chunk long, payload binary, runs binary"), "chunks")
+
+    def loaded(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Table, Anchored, np.ndarray]]:
+        unzip = zstandard.ZstdDecompressor()
+        for i in range(batch.num_rows):
+            rows = unpacked(batch.column("payload")[i].as_py())
+            runs = np.frombuffer(unzip.decompress(batch.column("runs")[i].as_py()), np.uint16).reshape(2, -1)
+            ids = rows.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
+            yield i, rows, Anchored(*K.text_buffer(rows.column("text")), runs, width, ranges), ids
+        K.give_back()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, payload in zip(batch.column("chunk"), batch.column("payload"), strict=True):
-                found = list(loaded(payload.as_py())[1].blobs())
+            for k, _, anchored, _ in loaded(batch):
+                found = list(anchored.blobs())
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([chunk.as_py()] * n, pa.int64()), pa.array([False] * n, pa.bool_()), pa.array([b for _, b in found], pa.binary())], ["range", "chunk", "wide", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([batch.column("chunk")[k].as_py()] * n, pa.int64()), pa.array([False] * n, pa.bool_()), pa.array([b for _, b in found], pa.binary())], ["range", "chunk", "wide", "blob"])
 
     def send_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(1)
         for batch in batches:
-            for chunk, payload, masks in zip(batch.column("chunk"), batch.column("payload"), batch.column("masks"), strict=True):
-                _, found, ids = loaded(payload.as_py())
-                own, again = found.snippets(masks.as_py(), ids)
-                own = own[~again]
-                cuts = np.searchsorted(found.place[own], found.cuts)
+            for k, _, anchored, ids in loaded(batch):
+                found = anchored.snippets(batch.column("masks")[k].as_py(), ids)
                 out = []
-                for i in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = own[cuts[i] : cuts[i + 1]]
-                    length = found.n[part] + width - 1
-                    row = np.searchsorted(found.offsets, found.start[part], "right") - 1
+                for i in np.flatnonzero(np.diff(found["cuts"])).tolist():
+                    part = np.arange(found["cuts"][i], found["cuts"][i + 1])
+                    part = part[~found["again"][part]]
+                    start, row, length = found["start"][part], found["row"][part], found["length"][part]
                     # Age within a chunk: by id, row, and start; rows are put before starts.
-                    head = np.stack([found.keys[found.place[part]].view(np.int64), ids[row], (row << 40) + found.start[part] - found.offsets[row], length])
-                    at = np.repeat(found.start[part] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-                    out.append((i, pack.compress(len(part).to_bytes(8, "little") + head.astype("<i8").tobytes() + found.data[at].tobytes())))
+                    head = np.stack([found["key"][part].view(np.int64), ids[row], (row << 40) + start - anchored.offsets[row], length])
+                    out.append((i, pack.compress(len(part).to_bytes(8, "little") + head.astype("<i8").tobytes() + anchored.data[spread(start, length)].tobytes())))
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([chunk.as_py()] * n, pa.int64()), pa.array([b for _, b in out], pa.binary())], ["range", "chunk", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([batch.column("chunk")[k].as_py()] * n, pa.int64()), pa.array([b for _, b in out], pa.binary())], ["range", "chunk", "blob"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, masks, marks in zip(batch.column("payload"), batch.column("masks"), batch.column("marks"), strict=True):
-                rows, found, ids = loaded(payload.as_py())
-                own, again = found.snippets(masks.as_py(), ids)
-                sent = own[~again]
-                cuts = np.searchsorted(found.place[sent], found.cuts)
+            for k, rows, anchored, ids in loaded(batch):
+                found = anchored.snippets(batch.column("masks")[k].as_py(), ids)
+                # A snippet that the chunk has in an older place goes whole; of the others the bits tell, range by range.
+                sent = np.flatnonzero(~found["again"])
+                cuts = range_cuts(found["key"][sent], ranges)
                 flags = []
-                for m in sorted(marks.as_py() or (), key=lambda m: m["range"]):
-                    n = int(found.n[sent[cuts[m["range"]] : cuts[m["range"] + 1]]].sum())
-                    flags.append(np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=n).astype(bool))
-                windows = spread(found.start[sent], found.n[sent])
-                gone = [windows[np.concatenate(flags)] if flags else windows[:0], spread(found.start[own[again]], found.n[own[again]])]
-                spans = K.runs(K.covered(len(found.data), np.concatenate(gone), width), found.offsets)
+                for m in sorted(batch.column("marks")[k].as_py() or (), key=lambda m: m["range"]):
+                    flags.append(unpacked_bits(m["bits"], int(found["n"][sent[cuts[m["range"]] : cuts[m["range"] + 1]]].sum())))
+                windows = spread(found["start"][sent], found["n"][sent])
+                gone = [windows[np.concatenate(flags)] if flags else windows[:0], spread(found["start"][found["again"]], found["n"][found["again"]])]
+                spans = K.runs(K.covered(len(anchored.data), np.concatenate(gone), width), anchored.offsets)
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*rows.schema.names, "spans"])
 
-    masks = stash(repeated_elsewhere(chunks.mapInArrow(send, "range int, chunk long, wide boolean, blob binary")), "anchors")
+    def mark_range(t: pa.Table) -> pa.Table:
+        out = indexed(t, width)
+        K.give_back()
+        return out
+
+    masks = stash(repeated_elsewhere(chunks.mapInArrow(send, "range int, chunk long, wide boolean, blob binary"), HOT), "anchors")
     masked = chunks.join(masks, "chunk", "left")
     snippets = masked.mapInArrow(send_snippets, "range int, chunk long, blob binary")
-    marks = snippets.groupBy("range").applyInArrow(lambda t: indexed(t, width), "chunk long, range int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("marks"))
-    return masked.join(marks, "chunk", "left").select("payload", "masks", "marks").mapInArrow(mark, with_fields(docs, "spans array<array<bigint>>"))
-
-
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+    marks = snippets.groupBy("range").applyInArrow(mark_range, "chunk long, range int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("marks"))
+    return masked.join(stash(marks, "marks"), "chunk", "left").mapInArrow(mark, with_fields(docs, "spans array<array<bigint>>"))
 
 
 def kept_bytes(text: str | None, spans: list[list[int]]) -> bytes:

@@ -57,6 +57,55 @@ def test_rlbwt_repeated_rows_nulls_and_empty(spark):
     assert rlbwt.find_repeats(frame(spark, []), 100).count() == 0
 
 
+def test_rlbwt_splits_hot_anchors(spark, monkeypatch):
+    """Chunks of one text each, so that every shared anchor is hot; the passage has different neighbours in each."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    passage = " ".join(word() for _ in range(70))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 40))) + passage[rng.randint(0, 5) :] + " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    for hot in (2, 512):
+        monkeypatch.setattr(rlbwt, "HOT", hot)
+        monkeypatch.setattr(rlbwt, "CHUNK_BYTES", 1)
+        got = {r["doc_id"]: rlbwt.kept_bytes(r["text"], r["spans"]) for r in rlbwt.find_repeats(frame(spark, rows), 60).collect()}
+        assert got == brute_bytes(rows, 60)
+
+
+def statistics_of(index, patterns):
+    data = np.frombuffer("".join(patterns).encode(), np.uint8)
+    length = np.array([len(p) for p in patterns])
+    begin = np.cumsum(length) - length
+    out = [[0] * len(p) for p in patterns]
+    for which, at, n, pos in index.statistics(data, begin, length):
+        for k, i, m, x in zip(which.tolist(), at.tolist(), n.tolist(), pos.tolist(), strict=True):
+            assert m == 0 or bytes((index.codes[x : x + m] - 2).astype(np.uint8)).decode() == patterns[k][i : i + m]
+            out[k][i] = m
+    return out
+
+
+def test_matching_statistics_against_brute_force():
+    """Lengths of the longest matches; both samples of a run decide: with either of them wrong the result is wrong."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abc") for _ in range(60))
+    texts_in = ["".join(c if rng.random() < 0.95 else rng.choice("abcd") for c in base) for _ in range(12)]
+    patterns = ["".join(c if rng.random() < 0.9 else rng.choice("abcde") for c in base) for _ in range(30)]
+    data, lengths = np.frombuffer("".join(texts_in).encode(), np.uint8), np.array([len(t) for t in texts_in])
+    index = rlbwt.RunIndex(data, lengths)
+    assert len(index.head) < len(index.codes)
+    longest = lambda p: max(n for n in range(len(p) + 1) if any(p[:n] in t for t in texts_in))
+    want = [[longest(p[i:]) for i in range(len(p))] for p in patterns]
+    assert statistics_of(index, patterns) == want
+    for name in ("start_sample", "end_sample"):
+        broken = rlbwt.RunIndex(data, lengths)
+        setattr(broken, name, np.zeros_like(getattr(broken, name)))
+        lengths_of = [[0] * len(p) for p in patterns]
+        where = np.frombuffer("".join(patterns).encode(), np.uint8)
+        size = np.array([len(p) for p in patterns])
+        for which, at, n, _ in broken.statistics(where, np.cumsum(size) - size, size):
+            for k, i, m in zip(which.tolist(), at.tolist(), n.tolist(), strict=True):
+                lengths_of[k][i] = m
+        assert lengths_of != want
+
+
 @pytest.mark.parametrize("bits", [64, 128])
 def test_rabin_karp_against_brute_force(spark, bits):
     rows, width = texts(), 5
