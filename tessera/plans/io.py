@@ -35,12 +35,12 @@ def src_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def yaml_files(df: DataFrame, path: str, version: str) -> None:
-    """A YAML document (JSON is a subset of it) for each of some parts of the clusters."""
+    """A YAML document (JSON is a subset of it) for each of some parts of the clusters, in a file of its own."""
     row = F.struct("id", "cluster_id", F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.col(f)))).alias("data")) if version != "2.2" else F.struct("id", F.col("cluster_id").alias("group"), *FIELDS)
     per = df.groupBy("cluster_id").agg(F.collect_list(row).alias("rows"))
     part = per.groupBy(F.pmod(F.hash("cluster_id"), F.lit(4)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "rows"))).alias("records"))
     doc = F.struct(F.lit(version).alias("version"), F.lit("TARGET" if version == "3.1" else "NORMAL").alias("type"), F.col("records").alias("records" if version != "2.2" else "books"))
-    part.repartition(4, "part").select(F.to_json(doc)).write.text(path)
+    part.select("part", F.to_json(doc).alias("value")).write.partitionBy("part").text(path)
 
 
 @query(BACK)
@@ -63,7 +63,7 @@ def src_flex(spark: SparkSession, d: str) -> DataFrame:
     halves = r.withColumn("half", F.pmod(F.hash("id"), F.lit(2)))
     a = halves.where("half = 0").groupBy("cluster_id").agg(group.alias("g")).agg(F.to_json(F.struct(F.collect_list("g").alias("group"))).alias("value"))
     b = halves.where("half = 1").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "cluster_id", F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.col(f)))).alias("data"))).alias("records"))).alias("value"))
-    a.unionByName(b).repartition(2, "value").write.text(path)
+    a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1))).write.partitionBy("part").text(path)
     return counted(R.read_any(spark, path))
 
 

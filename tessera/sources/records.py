@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from .shared import stash
+
 RECORD = ArrayType(StructType([StructField("id", StringType()), StructField("cluster_id", StringType()), StructField("data", MapType(StringType(), StringType()))]))
 #: Fields of a record object that aren't attributes.
 RESERVED = {"id", "idx", "cluster_id", "original_cluster_id", "data", "records"}
@@ -24,7 +26,8 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
 
     Only a count for each partition is gathered; no row leaves its partition.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    # Written first: counts and rows come from the same partitions, whatever adaptive plans or retries do.
+    marked = stash(df.withColumn("_at", F.monotonically_increasing_id()), "index")
     part = F.shiftright("_at", 33)
     sizes = marked.groupBy(part.alias("_part")).count()
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -98,12 +101,23 @@ def _record(r: dict, cluster: str, name: str) -> dict:
 
 @F.pandas_udf(RECORD)
 def parse_yaml(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: list(flattened(upgraded(yaml.safe_load(t) or {}))))
+    return text.map(lambda t: [r for doc in yaml.safe_load_all(t) for r in flattened(upgraded(doc or {}))])
+
+
+def json_documents(text: str) -> Iterator[object]:
+    """The documents of a JSON file: one, or several one after the other (as in files of a document a line)."""
+    decoder, at = json.JSONDecoder(), 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+        else:
+            doc, at = decoder.raw_decode(text, at)
+            yield doc
 
 
 @F.pandas_udf(RECORD)
 def parse_json(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: list(flattened(json.loads(t))))
+    return text.map(lambda t: [r for doc in json_documents(t) for r in flattened(doc)])
 
 
 def _documents(spark: SparkSession, path: str, parser) -> DataFrame:
