@@ -1,20 +1,29 @@
-"""SentencePiece encoding and decoding in numpy batches.
+"""SentencePiece encoding and decoding: batched numpy Viterbi.
 
 The model file is read here (its protocol buffer fields, no library). Texts are cut into
 units that no piece crosses; the distinct units of a batch are grouped by length, and all
 units of a length advance together. Hashes of all their substrings probe the sorted piece
-keys, which gives a lattice of pieces for every unit.
-
-* Unigram models: Viterbi over the lattice; the maximum over piece lengths is vectorised
-  and its argument is the backpointer.
-* BPE models: a path's pieces depend on the order of merges and not on a sum of scores, so
-  Viterbi can't give their ids. The same lattice then drives the merges: a vectorised
-  maximum finds each unit's best adjacent pair (leftmost of equals), and all units of the
-  length merge at once. Units over LONG characters take a heap instead, one by one.
+keys, which gives a lattice of pieces for every unit. Viterbi goes over the lattice from
+left to right; the maximum over piece lengths is vectorised and its argument is the
+backpointer.
+
+* Unigram models: a path's score is the sum of its pieces' scores.
+* BPE models: a step scores 1 if the piece can follow the last piece of the best path to
+  where it begins, else nothing. Two pieces can follow each other if merging the characters
+  of both gives these two again; that depends on the two alone, and it holds for all
+  neighbours of a path if and only if the path is what merging gives. So of the pieces that
+  end at a place one at most has a path behind it, and the table needs one backpointer a
+  place. Whether two pieces can follow each other is found by undoing merges, the later
+  one first, at both sides of the border (Followers). Pieces of spaces alone may share the
+  lowest score, as in the public models: then they are merged when nothing else is left,
+  from the left (run_sizes).
+
+Units that a worker has met are kept by hash, up to KNOWN of them. Units over LONG
+characters take the same table one place at a time.
 
 Characters without a piece become bytes where the model has byte pieces, else the unknown
 id (once for a run of them). Models with a normalisation table or user-defined pieces are
-refused.
+refused, as are BPE models in which a piece's score isn't below those of its parts.
 
 Edge cases: null and empty texts give no ids and decode to the empty text; rows that
 repeat are encoded each; ids may be null; very long texts are batches of their own; an
@@ -25,7 +34,6 @@ stands for a space, as in the format, so texts that hold it don't come back unch
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 from collections.abc import Iterator
 
@@ -37,8 +45,12 @@ from . import kernel as K
 
 SPACE = 0x2581
 LONG = 48
-BATCH_BYTES = 2 << 20
-CELLS = 1 << 21
+BATCH_BYTES = 1 << 19
+CELLS = 1 << 19
+#: Units that a worker remembers (about 30 bytes each).
+KNOWN = 1 << 18
+#: Slots for remembered pairs of pieces (a power of two).
+ASKED = 1 << 18
 SLOTS = 1 << 21
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -101,8 +113,6 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         normal = [i for i, k in enumerate(kinds) if k == NORMAL]
         self.number = {self.pieces[i]: i for i in normal}
-        #: For BPE, a higher priority merges first; equal scores have equal priority.
-        self.priority = np.unique(self.scores, return_inverse=True)[1].astype(np.int32)
         self.least = float(self.scores[normal].min())
         self.longest = max(len(self.pieces[i]) for i in normal)
         #: A piece with an inner word start would cross units; there is none in models that split at spaces.
@@ -119,6 +129,8 @@ class Model:
             slots = np.zeros(SLOTS >> 3, dtype=bool)
             slots[(keys & K.U64(len(slots) - 1)).astype(np.int64)] = True
             self.tables.append((keys[order], np.array(own, dtype=np.int32)[order], slots))
+        self.followers = Followers(self) if self.kind == BPE else None
+        self.known = Known()
 
     def probe(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """The ids of pieces of n characters with these hashes; -1 where there is none."""
@@ -174,6 +186,163 @@ def viterbi(model: Model, ids: np.ndarray) -> np.ndarray:
         pick = score.argmax(1)
         back[:, end] = sizes[pick]
         best[:, end] = score[np.arange(rows), pick]
+    return backwards(back)
+
+
+class Followers:
+    """Which pieces of a BPE model can follow each other.
+
+    Every piece that merging can make has one last merge (left, right); merges of a worse
+    rank come later. Whether the pieces a and b can stand side by side is found backwards:
+    of the two symbols at the border the one that was merged later is undone. If the two
+    symbols that then meet make a piece whose merge would have come before the one just
+    undone, merging would have taken it, and a and b don't last.
+    """
+
+    def __init__(self, model: Model):
+        n = len(model.pieces)
+        spaces = {i for p, i in model.number.items() if len(p) > 1 and not p.strip("▁")}
+        lowest = min((model.scores[i] for p, i in model.number.items() if len(p) > 1 and i not in spaces), default=0.0)
+        #: Lengths of pieces of spaces that are merged after all others; their scores are equal.
+        late = {i for i in spaces if len({model.scores[i] for i in spaces}) == 1 and model.scores[i] < lowest and not model.whole}
+        self.runs = {len(model.pieces[i]) for i in late}
+        own = np.array(sorted(set(model.number.values()) - late))
+        lengths = np.array([len(model.pieces[i]) for i in own])
+        #: Characters that pieces hold but that are none themselves: symbols of their own, which only merges use.
+        self.symbols = {chr(c): n + k for k, c in enumerate(c for c in np.flatnonzero(model.joined).tolist() if chr(c) not in model.number)}
+        size = n + len(self.symbols)
+        self.size = size
+        self.rank = np.full(size, -1, dtype=np.int64)
+        by_score = np.unique(-model.scores[own], return_inverse=True)[1]
+        self.rank[own] = np.where(lengths > 1, by_score + 1, 0)
+        self.left, self.right = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+        self.made = np.zeros(size, dtype=bool)
+        self.made[own[lengths == 1]] = True
+        self.made[n:] = True
+        self.pairs: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.seen = np.full(ASKED, -1, dtype=np.int64), np.zeros(ASKED, dtype=bool)
+        number = model.number | self.symbols
+        for m in range(2, model.longest + 1):
+            piece, a, b = [], [], []
+            for i in own[lengths == m].tolist():
+                text = model.pieces[i]
+                for cut in range(1, m):
+                    x, y = number.get(text[:cut]), number.get(text[cut:])
+                    if x is not None and y is not None and self.made[x] and self.made[y]:
+                        piece.append(i)
+                        a.append(x)
+                        b.append(y)
+            piece, a, b = (np.array(x, dtype=np.int64) for x in (piece, a, b))
+            last = self.lasts(a, b, whole=True)
+            piece, a, b = piece[last], a[last], b[last]
+            if len(np.unique(piece)) < len(piece) or (self.rank[piece] <= np.maximum(self.rank[a], self.rank[b])).any():
+                raise ValueError("a piece of this model ranks before its parts, or has two last merges")
+            self.left[piece], self.right[piece], self.made[piece] = a, b, True
+            keys = np.concatenate([self.pairs[0], a * size + b])
+            order = np.argsort(keys)
+            self.pairs = keys[order], np.concatenate([self.pairs[1], piece])[order]
+
+    def run_sizes(self, n: int) -> list[int]:
+        """The sizes of the pieces of n spaces: the leftmost two that make a piece are merged first."""
+        out: list[int] = []
+        while True:
+            if len(out) > 1 and out[-2] + out[-1] in self.runs:
+                out[-2:] = [out[-2] + out[-1]]
+            elif n and out and out[-1] + 1 in self.runs:
+                out[-1], n = out[-1] + 1, n - 1
+            elif n:
+                out.append(1)
+                n -= 1
+            else:
+                return out
+
+    def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of two symbols; a very late one where there is none."""
+        keys, made = self.pairs
+        none = np.full(len(a), np.iinfo(np.int64).max)
+        if not len(keys):
+            return none
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, self.rank[made[at]], none)
+
+    def lasts(self, a: np.ndarray, b: np.ndarray, whole: bool = False) -> np.ndarray:
+        """Whether merging the characters of each a and b gives a and b again, or (whole) comes to them before it merges the two."""
+        a, b = a.copy(), b.copy()
+        ok = np.ones(len(a), dtype=bool)
+        live = np.arange(len(a))
+        if not whole:
+            ok &= self.merge_rank(a, b) == np.iinfo(np.int64).max
+            live = live[ok]
+        while len(live):
+            x, y = a[live], b[live]
+            simple = (self.left[x] < 0) & (self.left[y] < 0)
+            live, x, y = live[~simple], x[~simple], y[~simple]
+            # Of equal ranks the right one is merged later.
+            first = (self.left[x] >= 0) & ((self.left[y] < 0) | (self.rank[x] > self.rank[y]))
+            undone = np.where(first, self.rank[x], self.rank[y])
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+            a[live], b[live] = x, y
+            met = self.merge_rank(x, y)
+            # A merge of the border that is left of the undone one wins ties with it, one that is right of it doesn't.
+            bad = (met < undone) | ((met == undone) & ~first)
+            ok[live[bad]] = False
+            live = live[~bad]
+        return ok
+
+    def can(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each b can follow a; answers are remembered, one a slot."""
+        keys, answers = self.seen
+        key = a.astype(np.int64) * self.size + b
+        slot = (K.mixed(key.view(np.uint64)) & K.U64(len(keys) - 1)).astype(np.int64)
+        out = answers[slot]
+        new = np.flatnonzero(keys[slot] != key)
+        if len(new):
+            asked, place = np.unique(key[new], return_inverse=True)
+            found = self.lasts(asked // self.size, asked % self.size)[place]
+            out[new] = found
+            at, one = np.unique(slot[new], return_index=True)
+            keys[at], answers[at] = key[new][one], found[one]
+        return out
+
+
+def table(model: Model, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """viterbi for BPE models: size[row, start] of the pieces that merging leaves, 0 where none begins."""
+    rows, length, most = ids.shape
+    rules = model.followers
+    fine = np.append(rules.made, False)  # -1, no piece, is the last
+    last = np.full((rows, length + 1), -1, dtype=np.int64)
+    back = np.zeros((rows, length + 1), dtype=np.int64)
+    single = ids[:, :, 0].astype(np.int64)
+    for r, c in zip(*np.nonzero(single < 0), strict=True):
+        single[r, c] = rules.symbols.get(chr(int(codes[r, c])), -1)
+    for end in range(1, length + 1):
+        sizes = np.arange(1, min(most, end) + 1)
+        at = ids[:, end - sizes, sizes - 1].astype(np.int64)
+        at[:, 0] = single[:, end - 1]
+        score = fine[at]
+        before = last[:, end - sizes]
+        row, k = np.nonzero(score & (sizes < end) & (before >= 0))
+        score[row, k] = rules.can(before[row, k], at[row, k])
+        # A character without any symbol follows all, and all follow it.
+        score[:, 0] |= at[:, 0] < 0
+        pick = score.argmax(1)
+        back[:, end] = sizes[pick]
+        last[:, end] = at[np.arange(rows), pick]
+    size = backwards(back)
+    if rules.runs:
+        lead = np.logical_and.accumulate((codes == SPACE) & (size == 1), axis=1).sum(1)
+        for n in np.unique(lead[lead > 1]).tolist():
+            parts = rules.run_sizes(n)
+            own = np.zeros(n, dtype=np.int64)
+            own[np.cumsum(parts) - parts] = parts
+            size[lead == n, :n] = own
+    return size
+
+
+def backwards(back: np.ndarray) -> np.ndarray:
+    """size[row, start] of the pieces of the path that backpointers (sizes by end) give."""
+    rows, length = back.shape[0], back.shape[1] - 1
     size = np.zeros((rows, length), dtype=np.int64)
     at = np.full(rows, length)
     while (live := np.flatnonzero(at > 0)).size:
@@ -183,73 +352,58 @@ def viterbi(model: Model, ids: np.ndarray) -> np.ndarray:
     return size
 
 
-def merged(model: Model, ids: np.ndarray) -> np.ndarray:
-    """size[row, start] of the symbols that are left when no adjacent pair makes a piece, 0 where none begins."""
-    rows, length, most = ids.shape
-    size = np.ones((rows, length), dtype=np.int64)
-    if most < 2:
-        return size
-    rank = np.where(ids >= 0, model.priority[ids], -1).astype(np.int32)
-    pair = np.full((rows, length), -1, dtype=np.int32)
-    pair[:, :-1] = rank[:, :-1, 1]
-    before = np.tile(np.arange(-1, length - 1), (rows, 1))
-    live = np.flatnonzero(pair.max(1) >= 0)
-
-    def score(r: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ok = (left >= 0) & (right < length)
-        n = size[r, np.maximum(left, 0)] + size[r, np.minimum(right, length - 1)]
-        return np.where(ok & (n <= most), rank[r, np.maximum(left, 0), np.minimum(n, most) - 1], -1)
-
-    while live.size:
-        at = pair[live].argmax(1)
-        more = pair[live, at] >= 0
-        live, at = live[more], at[more]
-        right = at + size[live, at]
-        size[live, at] += size[live, right]
-        size[live, right] = 0
-        pair[live, right] = -1
-        after = at + size[live, at]
-        inside = after < length
-        before[live[inside], after[inside]] = at[inside]
-        pair[live, at] = score(live, at, after)
-        prev = before[live, at]
-        has = prev >= 0
-        pair[live[has], prev[has]] = score(live[has], prev[has], at[has])
-    return size
-
-
-def merged_long(model: Model, text: str) -> list[str]:
-    """The symbols of one long unit, with a heap of adjacent pairs."""
-    ends = list(range(1, len(text) + 1))
-    nxt, prv, alive = [*range(1, len(text)), -1], [*range(-1, len(text) - 1)], [True] * len(text)
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(left: int) -> None:
-        right = nxt[left]
-        if right >= 0 and ends[right] - left <= model.longest and (i := model.number.get(text[left : ends[right]])) is not None:
-            heapq.heappush(heap, (-int(model.priority[i]), left, right, ends[right]))
-
-    for i in range(len(text) - 1):
-        offer(i)
-    while heap:
-        _, left, right, end = heapq.heappop(heap)
-        if not (alive[left] and alive[right] and nxt[left] == right and ends[right] == end):
-            continue
-        ends[left], nxt[left], alive[right] = end, nxt[right], False
-        if nxt[left] >= 0:
-            prv[nxt[left]] = left
-        offer(left)
-        if prv[left] >= 0:
-            offer(prv[left])
-    return [text[i : ends[i]] for i in range(len(text)) if alive[i]]
-
-
 def long_ids(model: Model, codes: np.ndarray) -> np.ndarray:
-    """The ids of one long unit: the heap for BPE, the same Viterbi for unigram models."""
-    if model.kind == BPE:
-        return np.array([i for s in merged_long(model, "".join(map(chr, codes.tolist()))) for i in ([model.number[s]] if s in model.number else [j for c in s for j in model.fallback(ord(c))])], dtype=np.int32)
-    ids = lattice(model, codes[None, :])
-    return ids_of(model, codes[None, :], ids, viterbi(model, ids))[0]
+    """The ids of one long unit: the same table, a place at a time; what two pieces said is remembered."""
+    if model.kind != BPE:
+        ids = lattice(model, codes[None, :])
+        return ids_of(model, codes[None, :], ids, viterbi(model, ids))[0]
+    text, rules = "".join(map(chr, codes.tolist())), model.followers
+    number = model.number | rules.symbols
+    can: dict[tuple[int, int], bool] = {}
+    last, back = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for size in range(1, min(model.longest, end) + 1):
+            i = number.get(text[end - size : end], -1)
+            if i < 0 and size > 1 or i >= 0 and not rules.made[i]:
+                continue
+            pair = last[end - size], i
+            if min(pair) >= 0 and pair not in can:
+                can[pair] = bool(rules.can(np.array([pair[0]]), np.array([pair[1]]))[0])
+            if can.get(pair, True):
+                last[end], back[end] = i, size
+                break
+    cuts = [len(text)]
+    while cuts[-1]:
+        cuts.append(cuts[-1] - back[cuts[-1]])
+    parts = [text[a:b] for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True)]
+    lead = next((k for k, p in enumerate(parts) if p != "▁"), len(parts)) if rules.runs else 0
+    parts[:lead] = ["▁" * n for n in rules.run_sizes(lead)]
+    return np.array([i for p in parts for i in ([model.number[p]] if p in model.number else model.fallback(ord(p)))], dtype=np.int32)
+
+
+class Known:
+    """Ids of units by the units' hashes: sorted hashes, and for each where its ids are among all ids."""
+
+    def __init__(self):
+        self.keys, self.begin, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != keys)
+
+    def add(self, keys: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(n) - n
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every)
+        self.keys, self.begin, self.n, self.flat = every[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.n, n])[order], np.concatenate([self.flat, flat])
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and their numbers."""
+        at = np.searchsorted(self.keys, keys)
+        n = self.n[at]
+        return self.flat[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
 def ids_of(model: Model, codes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,33 +448,12 @@ def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.
     start = np.flatnonzero(head)
     length = np.diff(np.append(start, len(codes)))
     values = K.mixed(codes.astype(np.uint64) + K.U64(0x1000000))
-    _, first, place = np.unique(K.RangeHash(values, 0x2545F4914F6CDD1D).of(start, start + length), return_index=True, return_inverse=True)
-    counts = np.zeros(len(first), dtype=np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    long = np.flatnonzero(length[first] > LONG)
-    for i in long.tolist():
-        out = long_ids(model, codes[start[first[i]] : start[first[i]] + length[first[i]]])
-        counts[i] = len(out)
-        parts.append((np.array([i]), out))
-    by_length = np.argsort(length[first], kind="stable")
-    sizes, cuts = np.unique(length[first][by_length], return_index=True)
-    for n, a, b in zip(sizes.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=True):
-        if n > LONG:
-            break
-        step = max(1, CELLS // (n * min(n, model.longest)))
-        for x in range(a, b, step):
-            units = by_length[x : min(b, x + step)]
-            own = codes[start[first[units]][:, None] + np.arange(n)]
-            ids = lattice(model, own)
-            out, per = ids_of(model, own, ids, (merged if model.kind == BPE else viterbi)(model, ids))
-            counts[units] = per
-            parts.append((units, out))
-    order = np.concatenate([u for u, _ in parts])
-    flat = np.concatenate([o for _, o in parts])
-    begin = np.empty(len(first), dtype=np.int64)
-    begin[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]])
-    n = counts[place]
-    ids = flat[np.repeat(begin[place] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+    keys, first, place = np.unique(K.RangeHash(values, 0x2545F4914F6CDD1D).of(start, start + length), return_index=True, return_inverse=True)
+    if len(model.known.keys) > KNOWN:
+        model.known = Known()
+    new = model.known.missing(keys)
+    model.known.add(*encoded_units(model, codes, keys[new], start[first[new]], length[first[new]]))
+    ids, n = model.known.of(keys[place])
     unit_cuts = np.searchsorted(start, offsets)
     ends = np.concatenate([[0], np.cumsum(n)])[unit_cuts]
     if not model.bytes:
@@ -332,6 +465,27 @@ def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.
     return ids, ends
 
 
+def encoded_units(model: Model, codes: np.ndarray, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of distinct units (ranges of codes), the numbers of their ids, and all ids, unit by unit."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(length > LONG).tolist():
+        out = long_ids(model, codes[start[i] : start[i] + length[i]])
+        parts.append((keys[i : i + 1], np.array([len(out)]), out))
+    by_length = np.argsort(length, kind="stable")
+    sizes, cuts = np.unique(length[by_length], return_index=True)
+    for n, a, b in zip(sizes.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(length)], strict=True):
+        if n > LONG:
+            break
+        step = max(1, CELLS // (n * min(n, model.longest)))
+        for x in range(a, b, step):
+            units = by_length[x : min(b, x + step)]
+            own = codes[start[units][:, None] + np.arange(n)]
+            ids = lattice(model, own)
+            out, per = ids_of(model, own, ids, table(model, own, ids) if model.kind == BPE else viterbi(model, ids))
+            parts.append((keys[units], per, out))
+    return tuple(np.concatenate([p[k] for p in parts] + [np.zeros(0, kind)]).astype(kind) for k, kind in enumerate((np.uint64, np.int64, np.int32)))
+
+
 class Decoder:
     def __init__(self, model: Model):
         self.model = model

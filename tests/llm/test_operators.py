@@ -278,6 +278,37 @@ def test_sentencepiece(spark):
         assert r["round_trip"] and r["decoded_sha256"] == hashlib.sha256((some[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def merged_one_by_one(model, text):
+    """BPE as it is defined: the best pair of neighbours that makes a piece, leftmost of equals, until there is none."""
+    parts = list(sentencepiece_codec.prepared(model, text))
+    while True:
+        found = [(-model.scores[model.number[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.number]
+        if not found:
+            break
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [i for p in parts for i in ([model.number[p]] if p in model.number else model.fallback(ord(p)))]
+
+
+def test_bpe_table_against_merging():
+    model, _ = sentencepiece_codec.loaded(TOKENIZER)
+    rng = random.Random(8)
+    pieces = list(model.number)
+    some = ["".join(rng.choice(pieces).replace("▁", " ") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    some += [" " * n + end for n in range(40) for end in ("", "a", "漢")] + ["".join(rng.choice("abes") for _ in range(120)) for _ in range(5)]
+    ids, cuts = sentencepiece_codec.encode_batch(model, some)
+    for i, t in enumerate(some):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == merged_one_by_one(model, t), t
+
+
+def test_sentencepiece_nulls_repeats_and_empty(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (3, "")]
+    got = sentencepiece_codec.summaries(frame(spark, rows), TOKENIZER).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (1, 2), (1, 2), (2, 0), (3, 0)]
+    assert sentencepiece_codec.summaries(frame(spark, []), TOKENIZER).count() == 0
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(frame(spark, []), TOKENIZER), TOKENIZER).count() == 0
+
+
 def test_unigram_viterbi(tmp_path):
     """A unigram model made of a few pieces, against every segmentation."""
     import struct
