@@ -473,7 +473,8 @@ def encoded_units(model: Model, codes: np.ndarray, keys: np.ndarray, start: np.n
         parts.append((keys[i : i + 1], np.array([len(out)]), out))
     by_length = np.argsort(length, kind="stable")
     sizes, cuts = np.unique(length[by_length], return_index=True)
-    for n, a, b in zip(sizes.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(length)], strict=True):
+    cuts = np.append(cuts, len(length))
+    for n, a, b in zip(sizes.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if n > LONG:
             break
         step = max(1, CELLS // (n * min(n, model.longest)))
