@@ -85,6 +85,20 @@ def field_role(name: Column) -> Column:
     return F.when(low.contains("title"), "TEXT").when(low.contains("author"), "COMPLEMENT_JA").when(low.contains("date"), "DATE").otherwise("TEXT")
 
 
+# What the name of a field holds that is picked for a role, and the type it must have.
+KEY_FIELDS = {"title": ("title", "TEXT"), "author": ("author", "COMPLEMENT_JA"), "publisher": ("publisher", "TEXT"), "date": ("date", "DATE")}
+
+
+def key_fields(data: Column, last: bool = False) -> dict[str, Column]:
+    """Of a map of fields the value of the first one (or the last) whose name and type fit each role; null where there is none."""
+
+    def pick(part: str, kind: str) -> Column:
+        fits = F.filter(F.map_entries(data), lambda e: F.lower(e["key"]).contains(part) & (field_role(e["key"]) == kind))
+        return F.try_element_at(fits, F.lit(-1 if last else 1))["value"]
+
+    return {role: pick(part, kind) for role, (part, kind) in KEY_FIELDS.items()}
+
+
 def weighted_text(fields: dict[str, Column]) -> Column:
     """"name: value" parts: titles and TEXT thrice, authors twice, others once."""
     parts = []

@@ -9,7 +9,7 @@ from ..functions.text import unit_hash
 from ..operators import active
 from ..sources import records as R
 from ..sources import tasks as T
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, stash, written
 from .base import EDGES, POSTERIORS, RECORDS, VOTES, edges, posteriors, query, records, table, votes
 
 FIELDS = ["title", "author", "publisher", "pubdate"]
@@ -99,14 +99,14 @@ def src_llm_csv(spark: SparkSession, d: str) -> DataFrame:
     return T.last_scores(spark.read.schema("record_id_1 string, record_id_2 string, score string, seq long").csv(path, header=True))
 
 
-CACHED = "length(c_name) % 2 = 0 and c_nationkey < 12"
-
-
-@query("select c_custkey, md5(c_name) as key, case when c_nationkey < 12 then c_acctbal end as cached, c_nationkey >= 12 as miss from customer", "src_pickle_cache")
+@query("select c_custkey, md5(c_name) as key, case when c_nationkey < 12 then c_acctbal end as cached, c_nationkey >= 12 as miss from customer")
 def src_pickle_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache that is written in two goes, the second correcting the first, and read: hits by left join, misses by anti join."""
+    path, c = fresh_path(spark, "cache"), table(spark, d, "customer").where("c_nationkey < 12").withColumn("key", F.md5("c_name"))
+    T.save_cache(c.select("key", (F.col("c_acctbal") + 1).alias("value"), F.lit(0).alias("seq")), path)
+    T.save_cache(c.select("key", F.col("c_acctbal").alias("value"), F.lit(1).alias("seq")), path)
     wanted = table(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("key"))
-    cache = table(spark, d, "customer").where("c_nationkey < 12").select(F.md5("c_name").alias("key"), F.col("c_acctbal").alias("cached"))
-    hit, miss = T.cache_lookup(wanted, cache)
+    hit, miss = T.cache_lookup(wanted, T.load_cache(spark, path).withColumnRenamed("value", "cached"))
     return hit.withColumn("miss", F.lit(False)).unionByName(miss.withColumn("cached", F.lit(None).cast("double")).withColumn("miss", F.lit(True)))
 
 
@@ -130,50 +130,65 @@ RESULT = f"""with {RECORDS}, t as (select cluster_id, count(*) as ts from r grou
 select label, count(*) as size, min(id) as first_id, min(cluster_id) = max(cluster_id) and max(ts) = count(*) as perfect_match from r join t using (cluster_id) group by label"""
 
 
-@query(RESULT, "snk_result", "snk_result_b", "snk_yaml_records")
+@query(RESULT)
 def snk_result(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh_path(spark, "result")
-    R.result_groups(records(spark, d)).write.json(path)
-    back = spark.read.schema("label string, size long, ids array<long>, perfect_match boolean").json(path)
-    return back.select("label", "size", F.col("ids")[0].alias("first_id"), "perfect_match")
+    return written(R.result_groups(records(spark, d)), "result").select("label", "size", F.col("ids")[0].alias("first_id"), "perfect_match")
+
+
+@query(f"with {RECORDS} select label, count(*) as size, min(id) as first_id, min(cluster_id) = max(cluster_id) as perfect_match from r group by label")
+def snk_result_b(spark: SparkSession, d: str) -> DataFrame:
+    return written(R.first_groups(records(spark, d)), "result").select("label", "size", F.col("ids")[0].alias("first_id"), "perfect_match")
+
+
+@query(f"""with {RECORDS}, c as (select cluster_id, count(*) as n from r group by 1)
+select 'records' as part, '' as key, sum(n)::bigint as n from c union all select 'clusters', '', count(*) from c union all select 'size', cast(n as varchar), count(*) from c group by n union all select 'cluster', cluster_id, n from c""")
+def snk_yaml_records(spark: SparkSession, d: str) -> DataFrame:
+    """A file of the summary and one of the clusters with their records, read back."""
+    r = records(spark, d).select("id", F.col("id").alias("idx"), "cluster_id", F.create_map(F.lit("title"), F.col("title")).alias("data"))
+    head, clusters = written(R.summary(r), "summary"), written(R.by_cluster(r), "records")
+    return head.unionByName(clusters.select(F.lit("cluster").alias("part"), F.col("cluster_id").alias("key"), F.size("records").cast("long").alias("n")))
 
 
 @query(f"with {RECORDS} select x.label, x.id as id1, y.id as id2, x.title as title1, y.title as title2, x.cluster_id = y.cluster_id as correct from r x join r y on x.label = y.label and x.id < y.id")
 def snk_matched_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return R.matched_pairs(records(spark, d), ["title"]).select("label", "id1", "id2", "title1", "title2", "correct")
+    return written(R.matched_pairs(records(spark, d), ["title"]).select("label", "id1", "id2", "title1", "title2", "correct"), "pairs", "csv")
 
 
 INFO = f"""with {RECORDS}, c as (select author as label, cluster_id, count(*) as n from r group by 1, 2)
 select label, cast(sum(n) as bigint) as size, first(cluster_id order by n desc, cluster_id) as majority, round(max(n) / sum(n), 6) as purity from c group by label"""
 
 
-@query(INFO, "snk_cluster_info", "ag_purity")
+@query(INFO)
+def ag_purity(spark: SparkSession, d: str) -> DataFrame:
+    return R.cluster_info(records(spark, d).withColumn("label", F.col("author"))).withColumn("purity", F.round("purity", 6))
+
+
+@query(INFO)
 def snk_cluster_info(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d).withColumn("label", F.col("author"))
-    return R.cluster_info(r).withColumn("purity", F.round("purity", 6))
+    return written(ag_purity(spark, d), "clusters", "csv")
 
 
 @query("select p_partkey as id, p_name as title, p_type as cluster_id, p_brand as original_cluster_id, p_type = p_brand as is_correctly_clustered from part")
 def snk_record_info(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
-    return r.select("id", "title", F.col("author").alias("cluster_id"), F.col("cluster_id").alias("original_cluster_id"), (F.col("author") == F.col("cluster_id")).alias("is_correctly_clustered"))
+    return written(r.select("id", "title", F.col("author").alias("cluster_id"), F.col("cluster_id").alias("original_cluster_id"), (F.col("author") == F.col("cluster_id")).alias("is_correctly_clustered")), "records", "csv")
 
 
 TASKS = """select cast(place as bigint) as count, cast(a as varchar) as id1, x.title as title1, cast(b as varchar) as id2, y.title as title2{1}
-from (select *, row_number() over (order by {0}, a, b) as place from (select * from q order by {0}, a, b limit 500)) join r x on a = x.id join r y on b = y.id"""
+from (select *, row_number() over (order by {0}, a, b) as place from q) join r x on a = x.id join r y on b = y.id"""
 
 
 def task_file(spark: SparkSession, d: str, order, more: list[str] = ()) -> DataFrame:
-    """The 500 first pairs by an order, as a task file that is written and read again."""
+    """All pairs by an order, as a task file that is written and read again."""
     path = fresh_path(spark, "tasks")
-    few = posteriors(spark, d).orderBy(order, "a", "b").limit(500)
-    rows = T.task_rows(T.numbered(few, order), records(spark, d), ["title"], list(more))
+    rows = T.task_rows(T.numbered(posteriors(spark, d), order), records(spark, d), ["title"], list(more))
     rows.write.csv(path, header=True, quoteAll=True, escape='"')
     back = spark.read.csv(path, header=True, quote='"', escape='"')
     return back.select(F.col("count").cast("long").alias("count"), "id1", "title1", "id2", "title2", *(F.round(F.col(m).cast("double"), 5).alias(m) for m in more))
 
 
 SETS = f"with {POSTERIORS}, {RECORDS} "
+UNCERTAIN, UNKNOWN, RANDOM = "round(0.5 - abs(p - 0.5), 9) desc", "round(1 - (inf_same + inf_not), 9) desc", "md5('42' || ':' || a || ':' || b)"
 
 
 @query(SETS + TASKS.format("n desc", ""))
@@ -186,28 +201,30 @@ def snk_crowd_inf(spark: SparkSession, d: str) -> DataFrame:
     return task_file(spark, d, F.desc("n"), ["inf_same", "inf_not"])
 
 
-@query(SETS + TASKS.format("round(0.5 - abs(p - 0.5), 9) desc", ""))
+@query(SETS + TASKS.format(UNCERTAIN, ""))
 def snk_crowd_uncertain(spark: SparkSession, d: str) -> DataFrame:
     return task_file(spark, d, F.desc(F.round(0.5 - F.abs(F.col("p") - 0.5), 9)))
 
 
-@query(SETS + TASKS.format("round(1 - (inf_same + inf_not), 9) desc", ""))
+@query(SETS + TASKS.format(UNKNOWN, ""))
 def snk_crowd_unknown(spark: SparkSession, d: str) -> DataFrame:
     return task_file(spark, d, F.desc(F.round(1 - (F.col("inf_same") + F.col("inf_not")), 9)))
 
 
-@query(SETS + TASKS.format("md5('42' || ':' || a || ':' || b)", ""))
+@query(SETS + TASKS.format(RANDOM, ""))
 def snk_crowd_random(spark: SparkSession, d: str) -> DataFrame:
     return task_file(spark, d, T.random_order("42"))
 
 
-@query(f"with {EDGES} select a, b, p > 0.5 as truth_sent from e")
+@query(f"with {POSTERIORS.replace('q as (', 'q as materialized (')}, o as (" + " union all ".join(f"select '{p}' as platform, {n} as file, a, b, row_number() over (order by {order}, a, b) as place from q" for p, n, order in (("N4U", 1, "n desc"), ("EXP_WITH_INF", 1, "n desc"), ("EXP_CIKM2023", 1, "n desc"), ("EXP_CIKM2023", 2, UNCERTAIN), ("EXP_CIKM2023", 3, UNKNOWN), ("EXP_CIKM2023", 4, RANDOM))) + ") select platform, file, count(*) as tasks, sum(place * (a + 3 * b))::bigint as order_sum from o group by 1, 2")
 def snk_crowd_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Four numbered files of the same tasks, for four platforms; the first is read again."""
-    path = fresh_path(spark, "tasks")
-    for i in range(4):
-        edges(spark, d).select("a", "b", "p").write.csv(f"{path}/{i:03d}", header=True)
-    return spark.read.schema("a long, b long, p double").csv(f"{path}/000", header=True).select("a", "b", (F.col("p") > 0.5).alias("truth_sent"))
+    """The numbered task files of each platform, read back: how many tasks each has, and a sum that its order fixes."""
+    pairs, out = stash(posteriors(spark, d).select("a", "b", "n", "p", "inf_same", "inf_not"), "pairs"), None
+    for platform in T.PLATFORMS:
+        for number, path in T.dispatch(platform, pairs, fresh_path(spark, "tasks")):
+            rows = spark.read.schema("at long, a long, b long").csv(path, header=True).select(F.lit(platform).alias("platform"), F.lit(number).alias("file"), "at", "a", "b")
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("platform", "file").agg(F.count("*").alias("tasks"), F.sum(F.col("at") * (F.col("a") + 3 * F.col("b"))).alias("order_sum"))
 
 
 @query(f"with {EDGES} select a as task, b, truth from e")
@@ -217,7 +234,7 @@ def snk_answers_sim(spark: SparkSession, d: str) -> DataFrame:
     return sheet.select(F.col("id").alias("task"), F.explode(F.from_json("result", "map<string, boolean>")).alias("key", "truth")).select("task", T.split_pair(F.col("key"))["b"].alias("b"), "truth")
 
 
-@query(f"with {EDGES}, {RECORDS} select a, b, round(p, 6) as similarity, x.title as title1, y.title as title2, x.author as author1, y.author as author2, x.cluster_id as c1, y.cluster_id as c2 from e join r x on a = x.id join r y on b = y.id", "snk_similarities_csv", "snk_cache_dump")
+@query(f"with {EDGES}, {RECORDS} select a, b, round(p, 6) as similarity, x.title as title1, y.title as title2, x.author as author1, y.author as author2, x.cluster_id as c1, y.cluster_id as c2 from e join r x on a = x.id join r y on b = y.id")
 def snk_similarities_csv(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "similarities")
     r = records(spark, d)
@@ -227,6 +244,15 @@ def snk_similarities_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(rows.schema).csv(path, header=True, quote='"', escape='"')
 
 
+@query(f"with {EDGES} select row_number() over (order by round(p, 6) desc, md5(a || ':' || b)) as place, md5(a || ':' || b) as key, round(p, 6) as similarity from e")
+def snk_cache_dump(spark: SparkSession, d: str) -> DataFrame:
+    """The score cache (key: md5 of the sorted pair) as a file by falling similarity."""
+    path = fresh_path(spark, "cache")
+    T.save_cache(edges(spark, d).select(F.md5(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))).alias("key"), F.round("p", 6).alias("value"), F.lit(0).alias("seq")), path)
+    dump = R.dense_index(T.load_cache(spark, path).orderBy(F.desc("value"), "key"), "place")
+    return written(dump.select((F.col("place") + 1).alias("place"), "key", F.col("value").alias("similarity")), "dump", "csv")
+
+
 @query(f"with {EDGES} select a, b, truth from e where (p >= 0.5) <> truth")
 def snk_jsonl_ft(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "finetune")
@@ -237,7 +263,7 @@ def snk_jsonl_ft(spark: SparkSession, d: str) -> DataFrame:
     return m.select(pair["a"].alias("a"), pair["b"].alias("b"), (F.col("messages")[1]["content"] == "はい").alias("truth"))
 
 
-@query(f"with {EDGES} select a, b, n, round(p, 6) as p, truth from e", "snk_graph_file", "snk_suspend")
+@query(f"with {EDGES} select a, b, n, round(p, 6) as p, truth from e")
 def snk_suspend(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "state")
     T.save_state({"edges": edges(spark, d), "answers": votes(spark, d)}, {"index": 3}, path)
@@ -245,11 +271,21 @@ def snk_suspend(spark: SparkSession, d: str) -> DataFrame:
     return tables["edges"].select("a", "b", "n", F.round("p", 6).alias("p"), "truth")
 
 
+@query(f"with {EDGES} select a, b, round(p, 6) as p from e union all select p_partkey, null, null from part")
+def snk_graph_file(spark: SparkSession, d: str) -> DataFrame:
+    """A graph saved and loaded: its edges, and its vertices (b is null), those without an edge too."""
+    path = fresh_path(spark, "graph")
+    T.save_graph(edges(spark, d).select("a", "b", F.round("p", 6).alias("p")), table(spark, d, "part").select(F.col("p_partkey").alias("id")), path)
+    e, v = T.load_graph(spark, path)
+    return e.unionByName(v.select(F.col("id").alias("a")), allowMissingColumns=True)
+
+
 @query(f"with {EDGES}, {RECORDS} select a, b, x.title as title1, y.title as title2, round(p, 6) as p from e join r x on a = x.id join r y on b = y.id where p >= 0.85 and not truth")
 def snk_misident(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     wrong = edges(spark, d).where("p >= 0.85 and not truth")
-    return wrong.join(r.select(F.col("id").alias("a"), F.col("title").alias("title1")), "a").join(r.select(F.col("id").alias("b"), F.col("title").alias("title2")), "b").select("a", "b", "title1", "title2", F.round("p", 6).alias("p"))
+    found = wrong.join(r.select(F.col("id").alias("a"), F.col("title").alias("title1")), "a").join(r.select(F.col("id").alias("b"), F.col("title").alias("title2")), "b")
+    return written(found.select("a", "b", "title1", "title2", F.round("p", 6).alias("p")), "wrong")
 
 
 @query("with c as (select user_id, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2) select user_id, event_type, n, mean, row_number() over (partition by user_id order by event_type) as iteration from c")
@@ -282,11 +318,12 @@ def src_sample_clusters(spark: SparkSession, d: str) -> DataFrame:
     return R.sample_clusters(records(spark, d), {5: 4, 60: 3}).select("id", "cluster_id")
 
 
-@query("select n_nationkey || '-' || v as id, v from nation, (select unnest(range(3)) as v)")
+@query("""with n as (select row_number() over (order by n_nationkey) - 1 as b, n_name as t from nation)
+select b || '-' || v as id, cast(b as varchar) as cluster_id, case v when 0 then t when 1 then upper(t) else t || ' ' end as title from n, (select unnest(range(3)) as v)
+union all select b || '-decoy', b || '-decoy', t || ' (続)' from n""")
 def src_synth(spark: SparkSession, d: str) -> DataFrame:
     names = [r["n_name"] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
-    made = R.synthetic(spark, [{"title": n} for n in names], 3)
-    return made.where(~F.col("id").endswith("decoy")).select("id", F.substring_index("id", "-", -1).cast("long").alias("v"))
+    return R.synthetic(spark, [{"title": n} for n in names], 3).select("id", "cluster_id", R.field("title").alias("title"))
 
 
 @query(f"with {RECORDS}, c as (select cluster_id, count(*) as n from r group by 1) select count(*) as clusters, cast(sum(n) as bigint) as records, min(n) as least, max(n) as most, round(avg(n), 6) as mean from c")
@@ -294,11 +331,12 @@ def src_inspect(spark: SparkSession, d: str) -> DataFrame:
     return R.profile(records(spark, d))
 
 
-@query("select 'a' as indicator, 2.0 as alpha union all select 'b', 3.5")
+@query("select '3.2' as version, 'gamma' as type, event_type as indicator, round(avg(value) * avg(value) / var_pop(value), 6) as alpha, round(avg(value) / var_pop(value), 6) as beta from events group by event_type")
 def src_params(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh_path(spark, "params")
-    spark.createDataFrame([("a", 2.0), ("b", 3.5)], "indicator string, alpha double").write.json(path)
-    return spark.read.schema("indicator string, alpha double").json(path)
+    """Parameters fitted by moments, an entry for each indicator with its family and the file's version, saved and loaded."""
+    m, v = F.avg("value"), F.var_pop("value")
+    fitted = table(spark, d, "events").groupBy("event_type").agg(F.round(m * m / v, 6).alias("alpha"), F.round(m / v, 6).alias("beta"))
+    return written(fitted.select(F.lit("3.2").alias("version"), F.lit("gamma").alias("type"), F.col("event_type").alias("indicator"), "alpha", "beta"), "params")
 
 
 @query(f"with {EDGES}, a as (select distinct a, b from e where n > 1) select a, b from e anti join a using (a, b)", "ss_queue")

@@ -28,10 +28,15 @@ def prj_roles(spark: SparkSession, d: str) -> DataFrame:
     return names.select("field", X.field_role(F.col("field")).alias("role"))
 
 
-@query("select p_partkey as id, case when p_size % 2 = 0 then p_name else p_brand end as title, p_type as author from part")
+@query("select p_partkey as id, case when p_size % 2 = 0 then p_name else p_brand end as title, p_brand as last_title, p_type as author, p_brand as publisher, case when p_size % 3 = 0 then cast(p_size as varchar) end as date from part")
 def prj_key_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The first field of a record for each role, by field names and types; a title also by the last one."""
     p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.col("p_brand")).alias("title"), F.col("p_type").alias("author"))
+    text = lambda name, value: (F.lit(name), value.cast("string"))
+    data = F.create_map(*text("MainTitle", F.when(F.col("p_size") % 2 == 0, F.col("p_name"))), *text("title2", F.col("p_brand")), *text("author", F.col("p_type")), *text("publisher", F.col("p_brand")), *text("pubdate", F.when(F.col("p_size") % 3 == 0, F.col("p_size"))))
+    data = F.map_filter(data, lambda k, v: v.isNotNull())
+    first, last = X.key_fields(data), X.key_fields(data, last=True)
+    return p.select(F.col("p_partkey").alias("id"), first["title"].alias("title"), last["title"].alias("last_title"), first["author"].alias("author"), first["publisher"].alias("publisher"), first["date"].alias("date"))
 
 
 @query(f"with {TITLES} select id, title || author || regexp_replace(sha256(pubdate), '[^0-9]', '', 'g') as text from t")

@@ -148,6 +148,20 @@ def result_groups(records: DataFrame) -> DataFrame:
     )
 
 
+def first_groups(records: DataFrame) -> DataFrame:
+    """label, size, ids, perfect_match (all records have the truth cluster of the first) from label, id, cluster_id."""
+    return records.groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("ids"), (F.min("cluster_id") == F.max("cluster_id")).alias("perfect_match"))
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """part, key, n: the number of records and clusters, and of clusters of each size."""
+    per = records.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    row = lambda part, key, n: (F.lit(part).alias("part"), key.alias("key"), n.cast("long").alias("n"))
+    sizes = per.groupBy("n").agg(F.count("*").alias("k")).select(*row("size", F.col("n").cast("string"), F.col("k")))
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r"), F.count("*").alias("c"))
+    return sizes.unionByName(total.select(*row("records", F.lit(""), F.col("r")))).unionByName(total.select(*row("clusters", F.lit(""), F.col("c"))))
+
+
 def cluster_info(records: DataFrame) -> DataFrame:
     """label, size, majority (truth cluster; smallest of equals), purity from label, cluster_id."""
     per = records.groupBy("label", "cluster_id").count()

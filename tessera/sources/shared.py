@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (one machine, tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a new temporary one on a single machine, and an error on a cluster."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -29,3 +31,13 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := fresh_path(spark, what))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, what: str, kind: str = "json") -> DataFrame:
+    """df as files of a kind (json or csv) in the shared folder, read back with its schema."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    if kind == "csv":
+        df.write.csv(path, header=True, quoteAll=True, escape='"')
+        return spark.read.schema(df.schema).csv(path, header=True, quote='"', escape='"')
+    df.write.json(path, ignoreNullFields=False)
+    return spark.read.schema(df.schema).json(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .records import dense_index
+
 
 def split_pair(key: Column) -> Column:
     """(a, b) with a < b of a key "i,j"."""
@@ -53,6 +55,33 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str = "key") -> tuple
     return wanted.join(cache, key), wanted.join(cache.select(key), key, "left_anti")
 
 
+def save_cache(rows: DataFrame, path: str) -> None:
+    """Adds rows (key, value, seq) to a cache table; the last of a key counts."""
+    rows.write.mode("append").parquet(path)
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """key, value."""
+    return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+
+
+# The orders of tasks that each platform gets, a file each.
+PLATFORMS = {"N4U": ("n4u",), "EXP_WITH_INF": ("inference",), "EXP_CIKM2023": ("inference", "uncertainty", "unknown", "random")}
+
+
+def dispatch(platform: str, pairs: DataFrame, path: str) -> list[tuple[int, str]]:
+    """Task files of a platform, numbered from 1: (number, folder). pairs: a, b, n, p, inf_same, inf_not."""
+    orders = {
+        "n4u": F.desc("n"), "inference": F.desc("n"), "uncertainty": F.desc(F.round(0.5 - F.abs(F.col("p") - 0.5), 9)),
+        "unknown": F.desc(F.round(1 - (F.col("inf_same") + F.col("inf_not")), 9)), "random": random_order("42"),
+    }
+    out = []
+    for number, order in enumerate(PLATFORMS[platform], 1):
+        numbered(pairs, orders[order]).select("at", "a", "b").write.csv(name := f"{path}/{platform}-{number:04d}", header=True)
+        out.append((number, name))
+    return out
+
+
 def task_rows(pairs: DataFrame, records: DataFrame, attributes: list[str], more: list[str] = ()) -> DataFrame:
     """count, id1, attributes of it, id2, attributes of it, and further columns of pairs (a, b, at)."""
     side = lambda n, key: records.select(F.col("id").alias(key), F.col("id").cast("string").alias(f"id{n}"), *(F.col(x).alias(f"{x}{n}") for x in attributes))
@@ -61,8 +90,8 @@ def task_rows(pairs: DataFrame, records: DataFrame, attributes: list[str], more:
 
 
 def numbered(pairs: DataFrame, *order: Column) -> DataFrame:
-    """pairs with at, from 1 in the order given and then by a and b; of a batch of tasks, which is small by its budget."""
-    return pairs.withColumn("at", F.row_number().over(Window.orderBy(*order, "a", "b")))
+    """pairs with at, from 1 in the order given and then by a and b; a range sort, so that no task holds all."""
+    return dense_index(pairs.orderBy(*order, "a", "b"), "at").withColumn("at", F.col("at") + 1)
 
 
 def uncertain_first(p: Column) -> Column:
