@@ -6,12 +6,14 @@ some. Training texts are scanned window by window: a table of hashes proposes hi
 words themselves confirm them.
 
 The hash set is broadcast while the benchmark has at most BROADCAST_BYTES of text (a
-checked bound); a larger benchmark is cut into parts of that size which are scanned one
-after the other, and the hits are merged.
-
-Edge cases: null and empty texts have no words and no hits; ids may be null and rows may
-repeat; items that repeat are reported each; an empty benchmark marks nothing; columns
-other than the named ones are not read, so clashing names do no harm.
+checked bound; a word takes 24 bytes in the set, so it has 12 times that at most). A larger
+benchmark is cut into parts of that size which are scanned one after the other, and the
+hits are merged.
+
+Edge cases: null and empty texts have no words and no hits; doc_ids may be null and rows
+may repeat; item_ids that repeat (with whatever texts) are reported once; items without an
+id mark words, but are not among the items reported; an empty benchmark marks nothing;
+columns other than the named ones are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import with_fields
+from .shared import small_batches, with_fields
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 SLOTS = 1 << 22
 
 
@@ -34,14 +36,17 @@ class Windows:
     """All distinct windows of a benchmark, by length, with the items they are from."""
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        self.words = K.of_column(texts, K.NOT_ALNUM, True)
-        self.names = [str(i) for i, _ in items]
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        counts = self.words.counts
+        words = K.of_column(pa.array([t or "" for _, t in items], pa.string()), K.NOT_ALNUM, True)
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.data, self.start, self.end = K.LOWER[words.data], words.start.astype(np.int32), words.end.astype(np.int32)
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        counts = words.counts
         owner = np.repeat(np.arange(len(items)), counts)
+        #: The id of each item; -1 where it has none.
+        named = np.array([-1 if i is None else number[str(i)] for i, _ in items], dtype=np.int32)
         for n in sorted({width, *counts[(counts > 0) & (counts < width)].tolist()}):
-            at, h = self.words.windows(n)
+            at, h = words.windows(n)
             own = owner[at]
             if n < width:
                 fits = counts[own] == n
@@ -50,7 +55,7 @@ class Windows:
                 order = np.argsort(h, kind="stable")
                 slots = np.zeros(SLOTS, dtype=bool)
                 slots[(h & K.U64(SLOTS - 1)).astype(np.int64)] = True
-                self.by_width[n] = (h[order], at[order], own[order], slots)
+                self.by_width[n] = (h[order], at[order].astype(np.int32), named[own[order]], slots)
 
     def hits(self, words: K.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words in `words` and items of the confirmed hits of this width."""
@@ -69,14 +74,14 @@ class Windows:
     def equal(self, words: K.Words, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
         """Whether windows a of words and b of the benchmark have the same words, byte for byte."""
         ok = np.ones(len(a), dtype=bool)
+        lower = K.LOWER[words.data] if len(a) else words.data
         for i in range(width):
-            n = words.end[a + i] - words.start[a + i]
-            ok &= n == self.words.end[b + i] - self.words.start[b + i]
-            longest = int(n[ok].max()) if ok.any() else 0
-            for j in range(longest):
-                live = np.flatnonzero(ok & (n > j))
-                x, y = words.data[words.start[a[live] + i] + j], self.words.data[self.words.start[b[live] + i] + j]
-                ok[live[K.LOWER[x] != K.LOWER[y]]] = False
+            live = np.flatnonzero(ok)
+            x, y = words.start[a[live] + i], self.start[b[live] + i].astype(np.int64)
+            n = words.end[a[live] + i] - x
+            same = n == self.end[b[live] + i] - y
+            ok[live[~same]] = False
+            ok[live[same]] = K.equal_ranges(lower, x[same], self.data, y[same], n[same])
         return ok
 
 
@@ -94,7 +99,8 @@ def scanner(windows: Windows, columns: list[str], suffix: str) -> Callable[[Iter
                 doc, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
                 items: list[list[str]] = [[] for _ in range(part.num_rows)]
                 for d, i in set(zip(doc.tolist(), own.tolist(), strict=True)):
-                    items[d].append(windows.names[i])
+                    if i >= 0:
+                        items[d].append(windows.names[i])
                 spans = K.runs(hit, words.first)
                 bytes_of = [_in_bytes(words, k, x) for k, x in enumerate(spans)]
                 spans_kind = pa.list_(pa.list_(pa.int64()))
@@ -116,6 +122,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, columns:
 
     docs: doc_id, text. benchmark: item_id, text.
     """
+    small_batches(docs.sparkSession)
     columns = columns or ["doc_id", "text"]
     passages = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = passages.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("b")).first()["b"] or 0
@@ -124,7 +131,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, columns:
     for i in range(parts):
         found = _scan(found, passages.where(one == i) if parts > 1 else passages, width, [c for c in found.columns if c != "n_words"], f"_{i}")
     merged = {c: _merged_spans(F.array_sort(F.concat(*(f"{c}_{i}" for i in range(parts))))) if parts > 1 else F.col(f"{c}_0") for c in ("hits", "spans")}
-    merged["items"] = F.array_sort(F.concat(*(f"items_{i}" for i in range(parts))))
+    merged["items"] = F.array_sort(F.array_distinct(F.concat(*(f"items_{i}" for i in range(parts)))))
     found = found.withColumns(merged)
     return found.select(*columns, "n_words", F.expr("aggregate(hits, 0L, (n, s) -> n + s[1] - s[0])").alias("n_hit"), "items", "spans")
 

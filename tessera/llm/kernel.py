@@ -19,7 +19,8 @@ SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes outside words when only digits, ASCII letters and non-ASCII bytes make words.
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+WINDOW_BASE = 0x2545F4914F6CDD1D
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,15 +43,15 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n; kept for the largest n so far, up to a million."""
+    """base**i and its inverse modulo 2**64 for i < n; kept for the largest n so far, up to half a million."""
     got = _POWERS.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n * 5 // 4, 1 << 16) if n < 1 << 20 else n
+        size = max(n * 5 // 4, 1 << 16) if n < 1 << 19 else n
         up = np.full(size, base, dtype=np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         got = np.cumprod(up), np.cumprod(down)
-        if size <= 5 << 18:
+        if size <= 5 << 17:
             _POWERS[base] = got
     return got[0][:n], got[1][:n]
 
@@ -143,7 +144,7 @@ class Words:
         """For each word, how many words of its row start at it or later."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self))
 
-    def windows(self, width: int, base: int = 0x2545F4914F6CDD1D) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int, base: int = WINDOW_BASE) -> tuple[np.ndarray, np.ndarray]:
         """Start words and hashes of all windows of `width` words within a row."""
         at = np.flatnonzero(self.left() >= width)
         return at, RangeHash(self.hash, base).of(at, at + width)
@@ -156,6 +157,29 @@ def of_column(column: pa.Array, outside: bytes, lower: bool, seed: int = 11) ->
     return Words(*text_buffer(column), outside, lower, seed)
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... (n of them) of all ranges, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+
+
+def blocks(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Parts of ranges of these lengths with about `most` bytes each."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def equal_ranges(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether x[a : a + n] and y[b : b + n] are equal byte for byte, for ranges that aren't empty."""
+    out = np.empty(len(a), dtype=bool)
+    for p in blocks(n):
+        same = x[spread(a[p], n[p])] == y[spread(b[p], n[p])]
+        out[p] = np.logical_and.reduceat(same, np.cumsum(n[p]) - n[p])
+    return out
+
+
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n positions lie in a window of `width` that begins at one of starts."""
     if not len(starts):
@@ -179,10 +203,12 @@ def runs(mask: np.ndarray, first: np.ndarray) -> list[list[list[int]]]:
     return out
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values byte plane by byte plane, most significant last: long runs for the shuffle's codec."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray, size: int = 8) -> bytes:
+    """Sorted values of `size` bytes, byte plane by byte plane, most significant last: long runs for the shuffle's codec."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def from_planes(blob: bytes, size: int = 8) -> np.ndarray:
+    out = np.zeros((len(blob) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(blob, np.uint8).reshape(size, -1).T
+    return out.view("<u8").ravel()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .shared import stash
+from .shared import small_batches, stash
 
 TREES, LEAST, DEPTH, NEAR = 20, 3, 6, 4
 VALUES, BITS = TREES * LEAST, 240
@@ -47,6 +47,7 @@ PREFIX = 1 + 3 * LEAST
 MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, BITS, dtype=np.uint64) * K.U64(2) + K.U64(1)
 #: Classes of a crowded region in a block; a task compares two blocks at a time.
 BLOCK = 256
+HOT_ROWS, HOT_CLASSES = 1_000, 10_000
 #: Texts are looked up by a bitmap of so many bits (4 MB), which bounds what is broadcast; more documents only make it less selective.
 BITMAP = 1 << 25
 
@@ -64,7 +65,7 @@ def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (two hashes of the set), signature (VALUES big-endian 32-bit minima, then a bit of each of BITS minima)."""
+    """doc_id, text_hash, n_shingles, h1, h2 (two hashes of the set), signature (VALUES big-endian 32-bit minima, then a bit of each of BITS minima)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +86,10 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     sums[0, full] = np.add.reduceat(K.mixed(sets), heads)
                     sums[1, full] = np.add.reduceat(K.mixed(sets ^ K.U64(0xA0761D6478BD642F)), heads)
                 signatures = [r.tobytes() + b.tobytes() if k else None for r, b, k in zip(out, np.packbits(bits, axis=1), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "signature"])
+            K.give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, f"doc_id {kind}, text_hash long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def regions(keys: np.ndarray) -> np.ndarray:
@@ -311,13 +313,15 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, for each row of docs.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, text_hash (xxhash64), for each row of docs.
 
-    docs: doc_id (integer), text. Links: pairs with 100 * intersection >= percent * union.
+    docs: doc_id (integer), text. Links: pairs with 100 * intersection >= percent * union. Of rows
+    with one id and different texts each is judged by its own text, and text_hash tells them apart.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = stash(signed(docs, width), "signatures")
-    classes = signatures.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = signatures.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
     reps = stash(classes, "classes")
     share = percent / 100
     agree = (1 + share) / 2
@@ -346,10 +350,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = crowd_links(docs, reps, label, found.where("region is not null").select("region").distinct(), width, percent, least)
     if not more.isEmpty():
         label = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    owner = reps.join(label, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return (
-        signatures.select("doc_id", "n_shingles", "h1", "h2").join(owner, ["h1", "h2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    # A class of many rows (HOT_ROWS and a share of 1 in HOT_CLASSES at least, so HOT_CLASSES classes at most) is broadcast, not shuffled to.
+    total = reps.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") > max(HOT_ROWS, total // HOT_CLASSES)
+    owner = stash(reps.join(label, "rep", "left").select("h1", "h2", "n_shingles", "rows", F.coalesce("component", "rep").alias("component")), "owners")
+    rows = signatures.select("doc_id", "n_shingles", "h1", "h2", "text_hash")
+    key = ["h1", "h2", "n_shingles"]
+    met = rows.where("n_shingles > 0").join(F.broadcast(owner.where(hot).select(*key, "component")), key, "left")
+    known, others = met.where("component is not null"), met.where("component is null").drop("component").join(owner.where(~hot).select(*key, "component"), key, "left")
+    found = known.select(*others.columns).unionByName(others).unionByName(rows.where("n_shingles = 0").withColumn("component", F.col("doc_id")))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "text_hash")

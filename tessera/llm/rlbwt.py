@@ -44,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .rabin_karp import chunked, repeated_elsewhere, unpacked
-from .shared import power_of_two, stash, text_bytes, with_fields
+from .rabin_karp import BLOBS, Keyed, blob_rows, chunked, key_bytes, repeated_elsewhere, unpacked
+from .shared import power_of_two, small_batches, stash, text_bytes, with_fields
 
 #: A chunk takes about 100 bytes of working memory a byte.
 CHUNK_BYTES = 1 << 18
@@ -60,10 +60,6 @@ KGRAM = 40
 HOT, STEP = 512, 8
 
 
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-
-
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """For each run of windows with one anchor: the number of windows, and where the anchor is in the first (two rows)."""
     n, k = len(data), min(KGRAM, width)
@@ -89,37 +85,32 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray
 def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
     """Where windows start, in order."""
     n = np.maximum(np.diff(offsets) - width + 1, 0)
-    return spread(offsets[:-1], n)
+    return K.spread(offsets[:-1], n)
 
 
 class Anchored:
-    """The anchor occurrences of a chunk: for each the first window, the number of windows and the anchor's hash."""
+    """The anchor occurrences of a chunk: for each the first window, the number of windows, the anchor's place and its hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, runs: np.ndarray, width: int, ranges: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, runs: np.ndarray, width: int, ranges: int, size: int):
         self.data, self.offsets, self.width, self.ranges = data, offsets, width, ranges
         self.n, ahead = runs.astype(np.int64)
         fits = window_starts(offsets, width)
         self.start = fits[np.cumsum(self.n) - self.n]
         self.anchor = self.start + ahead
-        hashes = K.RangeHash(K.byte_table(40, False)[data], 0x5851F42D4C957F2D).of(self.anchor, self.anchor + min(KGRAM, width))
-        self.keys, self.place, self.count = np.unique(hashes, return_inverse=True, return_counts=True)
-        self.cuts = range_cuts(self.keys, ranges)
-
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
-        for i in np.flatnonzero(np.diff(self.cuts)).tolist():
-            yield i, K.planes(self.keys[self.cuts[i] : self.cuts[i + 1]])
+        # Mixed anew: hashes of anchors are the smallest of many, and would all lie in the first ranges.
+        self.key = K.mixed(K.RangeHash(K.byte_table(40, False)[data], 0x5851F42D4C957F2D).of(self.anchor, self.anchor + min(KGRAM, width)))
+        self.keyed = Keyed([self.key], (size,), ranges)
 
     def snippets(self, masks: list[dict] | None, ids: np.ndarray) -> dict[str, np.ndarray]:
         """Snippets with repeated anchors, by key and age: start, n, key, row, and again, which of them repeat an older one of the chunk."""
-        twice, hot = self.count > 1, np.zeros(len(self.keys), dtype=bool)
+        hot = np.zeros(len(self.keyed.n), dtype=bool)
         for m in masks or ():
-            a, b = self.cuts[m["range"]], self.cuts[m["range"] + 1]
-            twice[a:b] |= unpacked_bits(m["bits"], b - a)
             if m["hot"]:
+                a, b = self.keyed.cuts[m["range"]], self.keyed.cuts[m["range"] + 1]
                 hot[a:b] = unpacked_bits(m["hot"], b - a)
-        own = np.flatnonzero(twice[self.place])
-        start, n, key = self.start[own], self.n[own], self.keys[self.place[own]]
-        split = hot[self.place[own]]
+        own = np.flatnonzero(self.keyed.repeated(masks))
+        start, n, key = self.start[own], self.n[own], self.key[own]
+        split = hot[self.keyed.place[own]]
         if split.any():
             parts = self.split(start[split], n[split], self.anchor[own][split])
             start, n, key = (np.concatenate([x[~split], y]) for x, y in zip((start, n, key), parts, strict=True))
@@ -132,7 +123,7 @@ class Anchored:
 
     def split(self, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Snippets of hot anchors, cut where the anchor's place in the window passes a multiple of STEP; their key is a hash of what all such windows hold."""
-        at = spread(start, n)
+        at = K.spread(start, n)
         turn = (np.repeat(anchor, n) - at) // STEP
         new = np.ones(len(at), dtype=bool)
         new[1:] = (turn[1:] != turn[:-1]) | (at[1:] != at[:-1] + 1)
@@ -154,30 +145,12 @@ def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
 
 
-def blocks(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
-    """Parts of ranges of these lengths with about `most` bytes each."""
-    ends, at = np.cumsum(lengths), 0
-    while at < len(lengths):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield slice(at, to)
-        at = to
-
-
 def range_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, a block at a time."""
     out = np.empty(len(begin), dtype=np.uint64)
-    for p in blocks(length):
+    for p in K.blocks(length):
         ends = np.cumsum(length[p])
-        out[p] = K.RangeHash(K.byte_table(41, False)[data[spread(begin[p], length[p])]], 0x2545F4914F6CDD1D).of(ends - length[p], ends)
-    return out
-
-
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether the ranges of these lengths at a and b are equal byte for byte."""
-    out = np.empty(len(a), dtype=bool)
-    for p in blocks(length):
-        same = data[spread(a[p], length[p])] == data[spread(b[p], length[p])]
-        out[p] = np.logical_and.reduceat(same, np.cumsum(length[p]) - length[p])
+        out[p] = K.RangeHash(K.byte_table(41, False)[data[K.spread(begin[p], length[p])]], 0x2545F4914F6CDD1D).of(ends - length[p], ends)
     return out
 
 
@@ -193,7 +166,7 @@ def first_of_equals(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key
     x, y = order[same], first[same]
     fine = (length[x] == length[y]) & (key[x] == key[y])
     x, y = x[fine], y[fine]
-    equal = same_bytes(data, begin[x], begin[y], length[x])
+    equal = K.equal_ranges(data, begin[x], data, begin[y], length[x])
     out[x[equal]] = y[equal]
     return out
 
@@ -201,9 +174,9 @@ def first_of_equals(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key
 def window_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """A hash of every window of byte ranges, computed a block at a time."""
     out, at = np.empty(int((length - width + 1).sum()), dtype=np.uint64), 0
-    for p in blocks(length):
-        start = spread(np.cumsum(length[p]) - length[p], length[p] - width + 1)
-        part = data[spread(begin[p], length[p])]
+    for p in K.blocks(length):
+        start = K.spread(np.cumsum(length[p]) - length[p], length[p] - width + 1)
+        part = data[K.spread(begin[p], length[p])]
         out[at : at + len(start)] = K.RangeHash(K.byte_table(41, False)[part], 0x2545F4914F6CDD1D).of(start, start + width)
         at += len(start)
     return out
@@ -259,7 +232,7 @@ class RunIndex:
         begin = np.cumsum(lengths + 1) - lengths - 1
         self.codes = np.ones(n, dtype=np.uint16)
         self.codes[-1] = 0
-        self.codes[spread(begin, lengths)] = data.astype(np.uint16) + 2
+        self.codes[K.spread(begin, lengths)] = data.astype(np.uint16) + 2
         order = suffix_order(self.codes)
         bwt = self.codes[order - 1]
         edge = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
@@ -354,13 +327,13 @@ def marks_of(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, group: np
         texts = runs_of(flagged(len(marks), by_hash[~again & followed]), part)
         asked = runs_of(flagged(len(marks), by_hash[again]), part)
         (text_part, text_begin, text_windows), (ask_part, ask_begin, ask_windows) = ((part[a], begin[part[a]] + a - first[part[a]], b - a) for a, b in (texts, asked))
-        for p in blocks(text_windows + width, INDEX_BYTES):
+        for p in K.blocks(text_windows + width, INDEX_BYTES):
             length = text_windows[p] + width - 1
-            index = RunIndex(data[spread(text_begin[p], length)], length)
+            index = RunIndex(data[K.spread(text_begin[p], length)], length)
             text_age, ends = age[text_part[p]], np.cumsum(length + 1)
             groups = group[ask_part]
             lo, hi = np.searchsorted(groups, group[text_part[p.start]], "left"), np.searchsorted(groups, group[text_part[p.stop - 1]], "right")
-            for q in blocks(ask_windows[lo:hi] + width, INDEX_BYTES):
+            for q in K.blocks(ask_windows[lo:hi] + width, INDEX_BYTES):
                 mine = slice(lo + q.start, lo + q.stop)
                 own_age, at = age[ask_part[mine]], asked[0][mine]
                 for which, place, n, pos in index.statistics(data, ask_begin[mine], ask_windows[mine] + width - 1):
@@ -403,7 +376,7 @@ def indexed(table: pa.Table, width: int) -> pa.Table:
     edge = np.flatnonzero(np.concatenate([[True], key[by_key[1:]] != key[by_key[:-1]]]))
     sizes = np.add.reduceat(lengths[by_key], edge)
     edge = np.append(edge, len(by_key))
-    for p in blocks(sizes, WORK_BYTES):
+    for p in K.blocks(sizes, WORK_BYTES):
         own = by_key[edge[p.start] : edge[p.stop]]
         mark_anchors(data, begin[own], lengths[own], key[own], age[own], first[:-1][own], width, marks)
     edges = np.concatenate([[0], np.cumsum(counts)])
@@ -416,20 +389,20 @@ def mark_anchors(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key: n
     count = length - width + 1
     older = first_of_equals(data, begin, length, key, age)
     again = older != np.arange(len(older))
-    marks[spread(mark[again], count[again])] = True
+    marks[K.spread(mark[again], count[again])] = True
     # Only windows whose hash another snippet has too can be found in an index.
     own = np.flatnonzero(~again)
     shared = has_equal(window_hashes(data, begin[own], length[own], width))
     snippet = np.repeat(own, count[own])
-    window = spread(np.zeros(len(own), np.int64), count[own])
+    window = K.spread(np.zeros(len(own), np.int64), count[own])
     a, b = runs_of(shared, snippet)
     snippet, offset, windows = snippet[a], window[a], b - a
     begin, mark, key, age = begin[snippet] + offset, mark[snippet] + offset, key[snippet], age[snippet]
     older = first_of_equals(data, begin, windows + width - 1, key, age)
     again = older != np.arange(len(older))
-    marks[spread(mark[again], windows[again])] = True
+    marks[K.spread(mark[again], windows[again])] = True
     own = np.flatnonzero(~again)
-    marks[spread(mark[own], windows[own])] = marks_of(data, begin[own], windows[own], key[own], age[own], width)
+    marks[K.spread(mark[own], windows[own])] = marks_of(data, begin[own], windows[own], key[own], age[own], width)
 
 
 def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None = None) -> DataFrame:
@@ -438,7 +411,10 @@ def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None =
     docs: doc_id (integer), text. width: from FIRST_SPAN to 65,535.
     """
     assert FIRST_SPAN <= width < 1 << 16
-    ranges = power_of_two(text_bytes(docs, "text") / RANGE_BYTES, 256, 1 << 20)
+    small_batches(docs.sparkSession)
+    total = text_bytes(docs, "text")
+    ranges = power_of_two(total / RANGE_BYTES, 256, 1 << 20)
+    size = key_bytes(total)
     docs = docs.select(columns or ["doc_id", "text"])
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,15 +432,13 @@ def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None =
             rows = unpacked(batch.column("payload")[i].as_py())
             runs = np.frombuffer(unzip.decompress(batch.column("runs")[i].as_py()), np.uint16).reshape(2, -1)
             ids = rows.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
-            yield i, rows, Anchored(*K.text_buffer(rows.column("text")), runs, width, ranges), ids
+            yield i, rows, Anchored(*K.text_buffer(rows.column("text")), runs, width, ranges, size), ids
         K.give_back()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, _, anchored, _ in loaded(batch):
-                found = list(anchored.blobs())
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([batch.column("chunk")[k].as_py()] * n, pa.int64()), pa.array([False] * n, pa.bool_()), pa.array([b for _, b in found], pa.binary())], ["range", "chunk", "wide", "blob"])
+                yield blob_rows(batch.column("chunk")[k].as_py(), anchored.keyed.blobs())
 
     def send_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(1)
@@ -478,9 +452,8 @@ def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None =
                     start, row, length = found["start"][part], found["row"][part], found["length"][part]
                     # Age within a chunk: by id, row, and start; rows are put before starts.
                     head = np.stack([found["key"][part].view(np.int64), ids[row], (row << 40) + start - anchored.offsets[row], length])
-                    out.append((i, pack.compress(len(part).to_bytes(8, "little") + head.astype("<i8").tobytes() + anchored.data[spread(start, length)].tobytes())))
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([batch.column("chunk")[k].as_py()] * n, pa.int64()), pa.array([b for _, b in out], pa.binary())], ["range", "chunk", "blob"])
+                    out.append((i, pack.compress(len(part).to_bytes(8, "little") + head.astype("<i8").tobytes() + anchored.data[K.spread(start, length)].tobytes())))
+                yield blob_rows(batch.column("chunk")[k].as_py(), out)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,8 +465,8 @@ def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None =
                 flags = []
                 for m in sorted(batch.column("marks")[k].as_py() or (), key=lambda m: m["range"]):
                     flags.append(unpacked_bits(m["bits"], int(found["n"][sent[cuts[m["range"]] : cuts[m["range"] + 1]]].sum())))
-                windows = spread(found["start"][sent], found["n"][sent])
-                gone = [windows[np.concatenate(flags)] if flags else windows[:0], spread(found["start"][found["again"]], found["n"][found["again"]])]
+                windows = K.spread(found["start"][sent], found["n"][sent])
+                gone = [windows[np.concatenate(flags)] if flags else windows[:0], K.spread(found["start"][found["again"]], found["n"][found["again"]])]
                 spans = K.runs(K.covered(len(anchored.data), np.concatenate(gone), width), anchored.offsets)
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*rows.schema.names, "spans"])
 
@@ -502,9 +475,9 @@ def find_repeats(docs: DataFrame, width: int = 100, columns: list[str] | None =
         K.give_back()
         return out
 
-    masks = stash(repeated_elsewhere(chunks.mapInArrow(send, "range int, chunk long, wide boolean, blob binary"), HOT), "anchors")
+    masks = stash(repeated_elsewhere(chunks.mapInArrow(send, BLOBS), (size,), HOT), "anchors")
     masked = chunks.join(masks, "chunk", "left")
-    snippets = masked.mapInArrow(send_snippets, "range int, chunk long, blob binary")
+    snippets = masked.mapInArrow(send_snippets, BLOBS)
     marks = snippets.groupBy("range").applyInArrow(mark_range, "chunk long, range int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("marks"))
     return masked.join(stash(marks, "marks"), "chunk", "left").mapInArrow(mark, with_fields(docs, "spans array<array<bigint>>"))
 

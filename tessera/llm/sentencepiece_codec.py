@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
+from .shared import small_batches
 
 SPACE = 0x2581
 LONG = 48
@@ -519,6 +520,7 @@ def loaded(path: str) -> tuple[Model, Decoder]:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids (array of int). path: the model file, found on every machine."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,6 +551,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def summaries(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256, round_trip: encoded and decoded in one pass, so that ids don't leave the worker."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,5 +567,6 @@ def summaries(docs: DataFrame, path: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array(digests), pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(back, texts, strict=True)], pa.bool_())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
                 )
+            K.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -3,12 +3,16 @@
 Features of a text are the presence of hashed words, word pairs and word pairs with one
 word between. Training follows per-coordinate learning rates with L1 sparsity; it uses a
 bounded sample of labelled rows (`sample`, the rows of smallest hash), since the weights'
-quality depends on the number of labels and not on the size of the corpus. The weights
+quality depends on the number of labels and not on the size of the corpus. One task learns,
+since each step needs the last; its rows come sorted, epoch after epoch, as a stream, so it
+holds the weights and a batch (a row has 2**BITS features at most). The weights
 that L1 leaves are few (at most 2**BITS) and broadcast; every text is scored whole.
 
 Edge cases: null and empty texts have no features and get the bias alone; labels that are
-null are not used; rows that repeat are scored each; an empty table gives an empty result;
-without any label every score is 0.5. Columns other than the named ones are not read.
+null are not used, of several labels of an id the largest is; rows that repeat are learnt
+from and scored each (equal ids in order of their features, so that weights don't depend on
+the shuffle); an empty table gives an empty result; without any label every score is 0.5.
+Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import with_fields
+from .shared import small_batches, stash, with_fields
 
 BITS = 20
 KINDS = ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2))
@@ -79,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int
 
     docs: doc_id, text. labels: doc_id, label (0 or 1), of rows that may be learnt from.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample is bounded by its parameter, so it may be broadcast.
@@ -87,29 +93,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array([x.tobytes() for x in by_text(part)], pa.binary())], ["id", "label", "features"])
-
-    def fit(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array([hash_of(x) for x in table.column("id").to_pylist()], dtype=np.uint64), kind="stable")
-        xs, ys, model = table.column("features"), table.column("label").to_pylist(), Ftrl()
-        for _ in range(epochs):
-            for i in order.tolist():
-                model.learn(np.frombuffer(xs[i].as_py(), np.int32), ys[i])
+                names = part.column("doc_id").cast(pa.string())
+                order = pa.array([hash_of(x) for x in names.to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, order, part.column("label"), pa.array([packed(x) for x in by_text(part)], pa.binary())], ["id", "place", "label", "features"])
+            K.give_back()
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, any_row = Ftrl(), False
+        for batch in batches:
+            for x, y in zip(batch.column("features"), batch.column("label").to_pylist(), strict=True):
+                model.learn(unpacked(x.as_py()), y)
+                any_row = True
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
-        return pa.table({"feature": pa.array([-1, *at.tolist()], pa.int32()), "weight": pa.array([model.bias_weight(), *w[at].tolist()], pa.float64())})
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([model.bias_weight(), *w[at].tolist()], pa.float64())], ["feature", "weight"])
+
+    encoded = stash(rows.mapInArrow(encode, "id string, place long, label int, features binary"), "features")
+    epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
+    streamed = encoded.select(epoch, "*").repartition(1).sortWithinPartitions("epoch", "place", "id", "features").select("label", "features")
+    return [(r["feature"], r["weight"]) for r in streamed.mapInArrow(fit, "feature int, weight double").collect()]
+
+
+def packed(features: np.ndarray) -> bytes:
+    """Sorted feature numbers as gaps, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.diff(features, prepend=np.int32(0)).astype("<i4").reshape(-1, 1).view(np.uint8).T.tobytes())
+
 
-    encoded = rows.mapInArrow(encode, "id string, label int, features binary")
-    fitted = encoded.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "feature int, weight double")
-    return [(r["feature"], r["weight"]) for r in fitted.collect()]
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
 
 
 def hash_of(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]], columns: list[str] | None = None) -> DataFrame:
     """docs' columns (doc_id and text, or those named) with score, a double from 0 to 1."""
+    small_batches(docs.sparkSession)
     dense = np.zeros(1 << BITS, dtype=np.float32)
     bias = 0.0
     for feature, weight in weights:

@@ -106,8 +106,11 @@ def test_matching_statistics_against_brute_force():
         assert lengths_of != want
 
 
-@pytest.mark.parametrize("bits", [64, 128])
-def test_rabin_karp_against_brute_force(spark, bits):
+@pytest.mark.parametrize("leading", [None, 2])
+def test_rabin_karp_against_brute_force(spark, monkeypatch, leading):
+    """With 2 leading bytes the first count proposes many windows that the second takes back."""
+    if leading:
+        monkeypatch.setattr(rabin_karp, "key_bytes", lambda n: leading)
     rows, width = texts(), 5
     words = {i: (t or "").encode().split() for i, t in rows}
     count: dict = {}
@@ -121,7 +124,7 @@ def test_rabin_karp_against_brute_force(spark, bits):
             if count[tuple(w[s : s + width])] > 1:
                 gone[s : s + width] = True
         want[i] = [x for x, g in zip(w, gone, strict=True) if not g]
-    got = {r["doc_id"]: rabin_karp.kept_words(r["text"], r["spans"]) for r in rabin_karp.repeated_windows(frame(spark, rows), width, bits).collect()}
+    got = {r["doc_id"]: rabin_karp.kept_words(r["text"], r["spans"]) for r in rabin_karp.repeated_windows(frame(spark, rows), width).collect()}
     assert got == want
     assert rabin_karp.repeated_windows(frame(spark, []), width).count() == 0
 
@@ -196,6 +199,15 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.find_leaks(frame(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_items_are_distinct_ids(spark, monkeypatch):
+    docs = frame(spark, [(1, "a b c"), (None, "a b c d"), (2, "x y z w")])
+    bench = spark.createDataFrame([(1, "a b c"), (1, "A b c"), (None, "x y z"), (1, "c d")], "item_id long, text string")
+    for small in (decontaminate.BROADCAST_BYTES, 20):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", small)
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+        assert got == {1: (3, ["1"]), None: (4, ["1"]), 2: (3, [])}
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("com", "/en/", "block")], "host string, path string, verdict string")
     urls = {"http://EXAMPLE.com/en/77?x": ("example.com/en/7", "allow"), "https://a.b.com/en/": ("com/en/", "block"), "http://com/EN/": (None, "allow"), "http://xcom/en/": (None, "allow"), "nothing": (None, "allow"), None: (None, "allow"), "http://.com/en/#?": ("com/en/", "block"), "x://h" + "/p" * 5000: (None, "allow")}
@@ -242,6 +254,46 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(5), toxicity.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_against_plain_ftrl(spark):
+    """The weights of a plain FTRL-proximal over dictionaries, one row after the other."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "awful", "brute", "tree"]) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    rows += [(3, rows[3][1]), (7, "another text"), (500, None)]
+    labels = [(i, int("awful brute" in (t or ""))) for i, t in rows[:110]] + [(500, 1), (3, 0)]
+    label = {}
+    for i, y in labels:
+        label[i] = max(y, label.get(i, 0))
+    learnt = []
+    for i, t in rows:
+        if i in label:
+            batch = pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"])
+            learnt.append((toxicity.hash_of(str(i)), toxicity.packed(toxicity.by_text(batch)[0]), label[i], toxicity.by_text(batch)[0].tolist()))
+    learnt.sort(key=lambda x: x[:2])
+    f = toxicity.Ftrl()
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(z, n, l1):
+        return 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((f.beta + n**0.5) / f.alpha + f.l2)
+
+    for _ in range(4):
+        for _, _, y, features in learnt:
+            w = {k: weight(z.get(k, 0.0), n.get(k, 0.0), f.l1) for k in features}
+            b = weight(bias[0], bias[1], 0.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - y
+            for k in features:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / f.alpha * w[k]
+                n[k] = old + g * g
+            bias[0] += g - ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / f.alpha * b
+            bias[1] += g * g
+    want = {k: weight(z[k], n[k], f.l1) for k in z} | {-1: weight(bias[0], bias[1], 0.0)}
+    got = dict(toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, label int")))
+    assert set(got) == {k for k, w in want.items() if w} | {-1} and len(got) >= 3
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert toxicity.score(frame(spark, []), list(got.items())).count() == 0
+    assert toxicity.train(frame(spark, []), spark.createDataFrame(labels, "doc_id long, label int")) == []
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 8))
