@@ -25,10 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8), the one of smallest doc_id."""
-    found = minhash_forest.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near duplicates (five words, similarity 0.8), the one of smallest doc_id.
+
+    Of different texts under one id only those go that are copies of a smaller id's; of rows
+    with equal id and text one stays. Texts without words, and rows without an id, stay.
+    """
+    found = stash(minhash_forest.near_duplicates(docs), "near")
+    hashed = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    left = hashed.join(found.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_anti")
+    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    if again.isEmpty():
+        return left.select(COLUMNS)
+    again = stash(again, "again")
+    once = left.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return left.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(once).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
