@@ -146,7 +146,7 @@ def diverse_neighbours(vectors: DataFrame, near: float = 1.0, block: int = 1024)
 def near_groups(vectors: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
     """(id, vector) of distinct vectors under their smallest id, and (id, label) of all: groups connected by distances up to `near`."""
     node = stash(vectors.groupBy("vector").agg(F.min("id").alias("id")), "nodes")
-    at = labels(node, canonical(vector_pairs(node, "l2", blocks=blocks_of(node), within=near), "src", "nbr")).withColumnRenamed("id", "rep")
+    at = labels(node, canonical(vector_pairs(node, "l2", within=near), "src", "nbr")).withColumnRenamed("id", "rep")
     rep = vectors.select("id", "vector").join(node.select(F.col("id").alias("rep"), "vector"), "vector").select("id", "rep")
     return node, stash(rep.join(at, "rep").select("id", "label"), "labels")
 
@@ -162,7 +162,7 @@ def compressed_neighbours(vectors: DataFrame, near: float = 1.0, m: int = 1) ->
     reps = stash(node.join(label.where("id = label").select("id"), "id").select("id", "vector"), "reps")
     n = reps.count()
     most = m * (int(math.log2(n)) if n > 1 else 1)
-    return canonical(vector_pairs(reps, "l2", blocks=blocks_of(reps), most=most), "src", "nbr")
+    return canonical(vector_pairs(reps, "l2", most=most), "src", "nbr")
 
 
 def synergy_edges(vectors: DataFrame, near: float = 1.0) -> DataFrame:
@@ -219,20 +219,22 @@ def synergy_edges(vectors: DataFrame, near: float = 1.0) -> DataFrame:
     return spent.where("r <= most").select(F.least("src", "nbr").alias("a"), F.greatest("src", "nbr").alias("b"), "dist")
 
 
-def contract_rounds(edges: DataFrame, same: DataFrame, most: int = 50) -> DataFrame:
+def contract_rounds(edges: DataFrame, same: DataFrame, most: int | None = None) -> DataFrame:
     """node, label after contracting edges by common neighbours until none is left.
 
     edges: a, b; same: a, b of pairs that are decided to be matches. Each round takes all edges
-    that are best (most common neighbours, then smallest ids) for both of their ends, contracts
-    those that are matches of their members, and removes the others.
+    that are best (most common neighbours, ties by a hash of the pair, so that rounds are wide) for
+    both of their ends, contracts those that are matches of their members, and removes the others.
+    An edge is decided in each round, so it ends; `most` stops it earlier. Where the order of the
+    rounds isn't wanted, contract_all gives the same labels at once.
     """
     left, label = stash(edges.select("a", "b"), "left"), None
-    for _ in range(most):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while (most is None or rounds < most) and not left.isEmpty():
+        rounds += 1
         scored = stash(common_neighbours(left), "scored")
-        best = both_ways(scored).join(scored.select(F.col("a").alias("u"), F.col("b").alias("v"), "n").unionByName(scored.select(F.col("b").alias("u"), F.col("a").alias("v"), "n")), ["u", "v"])
-        top = best.groupBy("u").agg(F.max_by("v", F.struct("n", -F.least("u", "v"), -F.greatest("u", "v"))).alias("v"))
+        best = scored.select(F.col("a").alias("u"), F.col("b").alias("v"), "n").unionByName(scored.select(F.col("b").alias("u"), F.col("a").alias("v"), "n"))
+        top = best.groupBy("u").agg(F.max_by("v", F.struct("n", F.xxhash64(F.least("u", "v"), F.greatest("u", "v")))).alias("v"))
         picked = top.join(top.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
         picked = stash(picked, "picked")
         now = same if label is None else contracted(same, label)
@@ -248,14 +250,25 @@ def contract_rounds(edges: DataFrame, same: DataFrame, most: int = 50) -> DataFr
     return every.select(F.col("id").alias("node"), F.col("id").alias("label")) if label is None else every.join(label, "id", "left").select(F.col("id").alias("node"), F.coalesce("label", "id").alias("label"))
 
 
+def contract_all(edges: DataFrame, same: DataFrame) -> DataFrame:
+    """node, label after all edges are contracted or removed, in whatever order.
+
+    An edge between two groups is contracted if any pair of their members is decided to be a match, and
+    an edge stays until it is decided. So each pair of `same` that is an edge ends in one group, and
+    nothing else is contracted: the groups are the components of these pairs.
+    """
+    every = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return labels(every, edges.select("a", "b").join(same.select("a", "b"), ["a", "b"], "left_semi")).withColumnRenamed("id", "node")
+
+
 def contract_limited(edges: DataFrame, budget: int, sure: float = 0.5) -> DataFrame:
     """a, b, decision (same, not, asked) of edges (a, b, inf_same, inf_not, inf_unknown), surest first.
 
     Sure edges are decided by themselves, the `budget` least unknown others are asked, and what is left takes the larger probability.
     """
     auto = F.when(F.col("inf_same") > sure, "same").when(F.col("inf_not") > sure, "not")
-    open_rank = F.row_number().over(Window.partitionBy(auto.isNull()).orderBy("inf_unknown", "a", "b"))
-    return edges.withColumn("r", open_rank).select("a", "b", F.coalesce(auto, F.when(F.col("r") <= budget, "asked"), F.when(F.col("inf_same") >= F.col("inf_not"), "same").otherwise("not")).alias("decision"))
+    asked = edges.where(auto.isNull()).orderBy("inf_unknown", "a", "b").limit(budget).select("a", "b", F.lit("asked").alias("asked"))
+    return edges.join(asked, ["a", "b"], "left").select("a", "b", F.coalesce(auto, "asked", F.when(F.col("inf_same") >= F.col("inf_not"), "same").otherwise("not")).alias("decision"))
 
 
 def leader_clusters(pairs: DataFrame, vertices: DataFrame, tau: float) -> DataFrame:

@@ -45,12 +45,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def vector_pairs(vectors: DataFrame, measure: str, blocks: int = 8, most: int | None = None, within: float | None = None) -> DataFrame:
+#: Rows in a block of vectors; a task holds two blocks.
+BLOCK = 4096
+
+
+def vector_pairs(vectors: DataFrame, measure: str, blocks: int | None = None, most: int | None = None, within: float | None = None) -> DataFrame:
     """src, nbr, dist of other vectors: the `most` nearest of each, or all `within` a distance; exact.
 
-    vectors: id, vector. Blocks of rows meet in pairs as matrix products, in double precision; each
-    task holds two blocks, and keeps `most` rows a source before the shuffle. measure: l2 or cosine.
+    vectors: id, vector (of one length; null vectors take no part). Blocks of BLOCK rows or so meet in
+    pairs as matrix products, which choose with a margin; distances that count are computed from the
+    vectors themselves, so that they don't depend on blocks. Each task keeps `most` rows a source
+    before the shuffle. measure: l2 or cosine.
     """
+    vectors = vectors.where("vector is not null")
+    blocks = blocks or max(8, -(-vectors.count() // BLOCK))
     dealt = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.concat_ws("-", "block", "other").alias("meet"), F.lit(0).alias("side"), "id", "vector")
     right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.concat_ws("-", "other", "block").alias("meet"), F.lit(1).alias("side"), "id", "vector")
@@ -59,26 +67,33 @@ def vector_pairs(vectors: DataFrame, measure: str, blocks: int = 8, most: int |
         side, ids, x = table.column("side").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("vector"))
         a, b, u, v = ids[side == 0], ids[side == 1], x[side == 0], x[side == 1]
         out = ([], [], [])
-        for i in range(0, len(a), 512):
-            own = u[i : i + 512]
+        long_u, long_v = (u * u).sum(1), (v * v).sum(1)
+        for i in range(0, len(a), 256):
+            own, long = u[i : i + 256], long_u[i : i + 256]
             if measure == "cosine":
-                n = np.sqrt((own * own).sum(1))[:, None] * np.sqrt((v * v).sum(1))
-                dist = 1 - np.divide(own @ v.T, n, out=np.zeros_like(n), where=n > 0)
+                n = np.sqrt(long)[:, None] * np.sqrt(long_v)
+                rough, margin = 1 - np.divide(own @ v.T, n, out=np.zeros_like(n), where=n > 0), 1e-9
             else:
-                gap = own[:, None, :] - v[None, :, :] if own.shape[0] * v.shape[0] * v.shape[1] < 1 << 24 else None
-                dist = np.sqrt((gap * gap).sum(2)) if gap is not None else np.sqrt(np.maximum((own * own).sum(1)[:, None] + (v * v).sum(1) - 2 * own @ v.T, 0))
-            dist[a[i : i + 512, None] == b] = np.inf
-            if most is not None and most < dist.shape[1]:
-                keep = np.argpartition(dist, most - 1, axis=1)[:, :most]
+                # Squares, with a margin for what the sum cancels.
+                rough, margin = long[:, None] + long_v - 2 * own @ v.T, 1e-9 * (long.max(initial=0) + long_v.max(initial=0))
+            rough[a[i : i + 256, None] == b] = np.inf
+            keep = np.isfinite(rough)
+            if most is not None and most < rough.shape[1]:
                 # Ties at the border stay in, so that the smaller id can win later.
-                far = np.take_along_axis(dist, keep, 1).max(1, keepdims=True)
-                rows, cols = np.nonzero((dist <= far) & np.isfinite(dist))
-            else:
-                rows, cols = np.nonzero(np.isfinite(dist))
-            d = dist[rows, cols]
-            ok = d <= within if within is not None else np.ones(len(d), bool)
-            for o, y in zip(out, (a[i + rows[ok]], b[cols[ok]], d[ok]), strict=True):
-                o.append(y)
+                keep &= rough <= np.partition(rough, most - 1, axis=1)[:, most - 1 : most] + margin
+            if within is not None:
+                keep &= rough <= (within if measure == "cosine" else within * within) + margin
+            rows, cols = np.nonzero(keep)
+            for k in range(0, len(rows), 1 << 14):
+                x, y = rows[k : k + (1 << 14)], cols[k : k + (1 << 14)]
+                if measure == "cosine":
+                    n = np.sqrt(long[x] * long_v[y])
+                    d = 1 - np.divide((own[x] * v[y]).sum(1), n, out=np.zeros_like(n), where=n > 0)
+                else:
+                    d = np.sqrt(((own[x] - v[y]) ** 2).sum(1))
+                ok = d <= within if within is not None else np.ones(len(d), bool)
+                for o, z in zip(out, (a[i + x[ok]], b[y[ok]], d[ok]), strict=True):
+                    o.append(z)
         cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.zeros(0), t)
         return pa.table({"src": cat(out[0], pa.int64()), "nbr": cat(out[1], pa.int64()), "dist": cat(out[2], pa.float64())})
 

@@ -9,7 +9,7 @@ from ..operators import graph
 from ..operators import pairs as P
 from ..sources.shared import stash
 from .base import EDGES, L2, MATCHES, POSTERIORS, RECORDS, VECTORS, edges, matches, posteriors, query, records, table, vectors
-from .pairing import cluster_best
+from .pairing import components_sql
 
 
 def vertices(spark: SparkSession, d: str) -> DataFrame:
@@ -58,11 +58,6 @@ def gr_recall(spark: SparkSession, d: str) -> DataFrame:
     return graph.recall(matches(spark, d), edges(spark, d).where("truth").select("a", "b"))
 
 
-def components_sql(pairs: str) -> str:
-    """n(node, component) from pairs (a, b): the smallest reachable node."""
-    return f"w(node, other) as (select a, b from {pairs} union select b, a from {pairs} union select w.node, x.other from w join (select a as node, b as other from {pairs} union all select b, a from {pairs}) x on w.other = x.node), n as (select node, min(least(node, other)) as component from w group by 1)"
-
-
 POTENTIAL = f"with recursive {EDGES}, g as (select a, b from e where truth and p >= 0.5), {components_sql('g')}"
 
 
@@ -101,10 +96,11 @@ def gr_synergy(spark: SparkSession, d: str) -> DataFrame:
     return graph.synergy_edges(vectors(spark, d), 1.0).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@query()
+@query(f"with recursive {EDGES.replace('e as (', 'e as materialized (')}, g as (select a, b from e where case when n > 1 then truth else p >= 0.995 end), {components_sql('g')} select id as node, coalesce(component, id) as label from (select distinct unnest([a, b]) as id from e) left join n on id = node")
 def gr_contract_all(spark: SparkSession, d: str) -> DataFrame:
-    e = stash(edges(spark, d).where("truth and p >= 0.85"), "edges")
-    return graph.contract_rounds(e, e.where("p >= 0.9"), most=8)
+    """The whole graph contracted until no edge is left: answered pairs (n > 1) by their answer, others by inference."""
+    e = stash(edges(spark, d), "edges")
+    return graph.contract_all(e, e.where("if(n > 1, truth, p >= 0.995)"))
 
 
 @query(f"""with {POSTERIORS}, k as (select *, row_number() over (partition by inf_same > 0.5 or inf_not > 0.5 order by inf_unknown, a, b) as k from q)
@@ -134,8 +130,8 @@ def gr_adaptive(spark: SparkSession, d: str) -> DataFrame:
     from .workflow import adaptive_merge
 
     r = records(spark, d)
-    scored = stash(edges(spark, d).where("truth").select("a", "b", F.col("p").alias("score")), "scores")
-    return adaptive_merge(r.select("id", "cluster_id"), scored, most=3)
+    scored = stash(edges(spark, d).select("a", "b", F.col("p").alias("score")), "scores")
+    return adaptive_merge(r.select("id", "cluster_id"), scored)
 
 
 @query(f"with recursive {EDGES}, g as (select distinct x.p_name as a, y.p_name as b from e join part x on e.a = x.p_partkey join part y on e.b = y.p_partkey where e.truth and e.p >= 0.99 and x.p_name <> y.p_name), {components_sql('g')} select p_name as cluster, coalesce(component, p_name) as merged from (select distinct p_name from part) left join n on p_name = node")
@@ -167,11 +163,23 @@ def gr_apply_answers(spark: SparkSession, d: str) -> DataFrame:
     return graph.labels(vertices(spark, d), answered)
 
 
-@query(f"with {MATCHES}, z as (select a as id from m union select b from m) select (select count(*) from z) as vertices, count(*) as edges, (select round(count(*) filter (p >= 0.85) / count(*), 6) from e where truth) as recall from m")
-def gr_summary(spark: SparkSession, d: str) -> DataFrame:
-    m = matches(spark, d)
-    r = graph.recall(m, edges(spark, d).where("truth").select("a", "b")).select("recall")
-    return m.agg(F.count("*").alias("edges")).join(graph.both_ways(m).agg(F.countDistinct("u").alias("vertices"))).join(r).select("vertices", "edges", "recall")
+def linked_sql(pairs: str, x: str) -> str:
+    """components_sql under names that end in x."""
+    return components_sql(pairs).replace("w(node", f"w{x}(node").replace("select w.node", f"select w{x}.node").replace("from w join", f"from w{x} join").replace("on w.other", f"on w{x}.other").replace("n as (", f"n{x} as (").replace("from w group", f"from w{x} group")
 
 
-__all__ = ["cluster_best"]
+@query(f"""with recursive {EDGES.replace('e as (', 'e as materialized (')}, g1 as (select a, b from e where truth and p >= 0.85), g2 as (select a, b from e where truth and (p >= 0.85 or n > 1)), {linked_sql('g1', '1')}, {linked_sql('g2', '2')},
+z as (select distinct unnest([a, b]) as id from e where p >= 0.85)
+select (select count(*) from z) as vertices, count(*) filter (p >= 0.85) as edges, round(count(*) filter (truth and p >= 0.85) / count(*) filter (truth), 6) as recall, round(count(*) filter (truth and (p >= 0.85 or n > 1)) / count(*) filter (truth), 6) as recall_deemed,
+  round(count(*) filter (truth and u.component = v.component) / count(*) filter (truth), 6) as potential, round(count(*) filter (truth and s.component = t.component) / count(*) filter (truth), 6) as potential_deemed
+from e left join n1 u on a = u.node left join n1 v on b = v.node left join n2 s on a = s.node left join n2 t on b = t.node""")
+def gr_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices, edges, recall and potential recall, without and with pairs deemed to match by answers."""
+    e = stash(edges(spark, d), "edges")
+    truth, m = e.where("truth").select("a", "b"), e.where("p >= 0.85").select("a", "b")
+    deemed = m.unionByName(e.where("truth and n > 1").select("a", "b")).distinct()
+    rate = lambda pairs, name: graph.recall(pairs, truth).select(F.col("recall").alias(name))
+    # One row each.
+    out = m.agg(F.count("*").alias("edges")).join(graph.both_ways(m).agg(F.countDistinct("u").alias("vertices"))).join(rate(m, "recall")).join(rate(deemed, "recall_deemed"))
+    out = out.join(rate(graph.potential_pairs(m, truth), "potential")).join(rate(graph.potential_pairs(deemed, truth), "potential_deemed"))
+    return out.select("vertices", "edges", "recall", "recall_deemed", "potential", "potential_deemed")

@@ -29,6 +29,11 @@ def jn_cross_cluster(spark: SparkSession, d: str) -> DataFrame:
     return P.cross_cluster(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").select("a", "b", "ca", "cb")
 
 
+def components_sql(pairs: str) -> str:
+    """n(node, component) from pairs (a, b): the smallest reachable node."""
+    return f"w(node, other) as (select a, b from {pairs} union select b, a from {pairs} union select w.node, x.other from w join (select a as node, b as other from {pairs} union all select b, a from {pairs}) x on w.other = x.node), n as (select node, min(least(node, other)) as component from w group by 1)"
+
+
 def ranked_sql(distance: str, keep: str) -> str:
     return f"with {VECTORS}, y as (select i.id as src, j.id as nbr, {distance} as dist from x i join x j on i.id <> j.id), z as (select *, row_number() over (partition by src order by dist, nbr) as rank from y) select src, nbr, round(dist, 6) as dist, rank from z where {keep}"
 
@@ -59,9 +64,9 @@ def jn_lsh(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {VECTORS}, f as (select id, unnest(vector) as v, unnest(range(64)) as dim from x),
 t as (select dim from f group by dim order by var_pop(v) desc, dim limit 20), c as (select id, dim, floor(v * 20) as cell from f where dim in (select dim from t))
-select i.id as a, j.id as b, count(*) as n from c i join c j on i.dim = j.dim and i.cell = j.cell and i.id < j.id group by 1, 2 having count(*) >= 10""")
+select i.id as a, j.id as b, count(*) as n from c i join c j on i.dim = j.dim and i.cell = j.cell and i.id < j.id group by 1, 2 having count(*) >= 3""")
 def jn_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return P.bucket_pairs(vectors(spark, d), shared=10)
+    return P.bucket_pairs(vectors(spark, d))
 
 
 @query(f"with {EDGES}, {RECORDS} select a, b, title from e join r on a = id")
@@ -146,18 +151,44 @@ def cluster_best(spark: SparkSession, d: str, most: int) -> DataFrame:
 FEW = f"with {RECORDS}, f as (select *, row_number() over (partition by cluster_id order by md5('42' || ':' || id), id) as k from r), t as (select *, list_distinct(string_split(title, ' ')) as w from f), g as (select x.cluster_id as ca, y.cluster_id as cb, x.id as a, y.id as b, len(list_intersect(x.w, y.w)) / greatest(len(x.w), len(y.w)) as score from t x join t y on x.cluster_id < y.cluster_id where x.k <= {{0}} and y.k <= {{0}})"
 
 
-@query(FEW.format(3) + " select ca, cb, first(a order by score desc, a, b) as a, first(b order by score desc, a, b) as b, round(max(score), 6) as score from g group by 1, 2 having max(score) >= 0.5", "jn_inter_score", "ag_best_pair", "jn_multi_rep")
+@query(FEW.format(3) + " select ca, cb, first(a order by score desc, a, b) as a, first(b order by score desc, a, b) as b, round(max(score), 6) as score from g group by 1, 2 having max(score) >= 0.5")
 def ag_best_pair(spark: SparkSession, d: str) -> DataFrame:
-    g = cluster_best(spark, d, 3)
+    return best_of(cluster_best(spark, d, 3))
+
+
+def best_of(g: DataFrame) -> DataFrame:
+    """The best pair of each two clusters, ties to smaller ids, from a score of a half."""
     best = g.groupBy("ca", "cb").agg(F.max(F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("t"))
     return best.select("ca", "cb", (-F.col("t.x")).alias("a"), (-F.col("t.y")).alias("b"), F.round("t.score", 6).alias("score")).where("score >= 0.5")
 
 
-@query(FEW.format(5) + " select ca, cb, round(avg(score), 6) as mean, count(*) as n from g group by 1, 2", "ag_cluster_mean_sim", "jn_cluster_sim")
+@query(FEW.format(5) + " select ca, cb, round(avg(score), 6) as mean, count(*) as n from g group by 1, 2")
 def ag_cluster_mean_sim(spark: SparkSession, d: str) -> DataFrame:
     return cluster_best(spark, d, 5).groupBy("ca", "cb").agg(F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
 
 
+@query(FEW.format(5) + " select ca, cb, round(avg(score), 6) as mean from g group by 1, 2 having round(avg(score), 6) >= 0.05")
+def jn_cluster_sim(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters whose records are alike on average, from a threshold."""
+    return ag_cluster_mean_sim(spark, d).where("mean >= 0.05").select("ca", "cb", "mean")
+
+
+@query(FEW.format(3) + """, w as (select cluster_id as c, x, count(*) as n from (select cluster_id, unnest(list_distinct(string_split(title, ' '))) as x from r) group by 1, 2),
+l as (select c, sqrt(sum(n * n)) as l from w group by c),
+k as (select i.c as ca, j.c as cb, round(sum(i.n * j.n) / (any_value(li.l) * any_value(lj.l)), 6) as cosine from w i join w j on i.x = j.x and i.c < j.c join l li on li.c = i.c join l lj on lj.c = j.c group by 1, 2),
+best as (select ca, cb, first(a order by score desc, a, b) as a, first(b order by score desc, a, b) as b, round(max(score), 6) as score from g group by 1, 2 having max(score) >= 0.5)
+select ca, cb, a, b, score, cosine from best join k using (ca, cb) where cosine >= 0.6""")
+def jn_inter_score(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters whose texts (all titles) have token vectors of a cosine of 0.6 or more; of these the best of 3 x 3 record pairs."""
+    w = records(spark, d).select(F.col("cluster_id").alias("c"), F.explode(X.tokens(F.col("title"))).alias("x")).groupBy("c", "x").agg(F.count("*").alias("n"))
+    long = w.groupBy("c").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+    met = w.select(F.col("c").alias("ca"), "x", F.col("n").alias("na")).join(w.select(F.col("c").alias("cb"), "x", F.col("n").alias("nb")), "x").where("ca < cb")
+    dot = met.groupBy("ca", "cb").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    at = lambda c, l: long.select(F.col("c").alias(c), F.col("l").alias(l))
+    near = dot.join(at("ca", "la"), "ca").join(at("cb", "lb"), "cb").select("ca", "cb", F.round(F.col("dot") / (F.col("la") * F.col("lb")), 6).alias("cosine")).where("cosine >= 0.6")
+    return best_of(cluster_best(spark, d, 3).join(near.select("ca", "cb"), ["ca", "cb"], "left_semi")).join(near, ["ca", "cb"]).select("ca", "cb", "a", "b", "score", "cosine")
+
+
 LONGEST = f"with {RECORDS}, k as (select *, length(title) + length(author) + length(publisher) + length(pubdate) as n from r), p as (select * from (select *, row_number() over (partition by cluster_id order by n desc, id) as k from k) where k = 1)"
 
 
@@ -338,7 +369,7 @@ def wn_adaptive_k(spark: SparkSession, d: str) -> DataFrame:
 CAPPED = f"with {RECORDS}, k as (select x.cluster_id as cluster, x.id as a, y.id as b, row_number() over (partition by x.cluster_id order by md5('42' || ':' || x.id || ':' || y.id), x.id, y.id) as k from r x join r y on x.cluster_id = y.cluster_id and x.id < y.id) select cluster, a, b from k where k <= 50"
 
 
-@query(CAPPED, "wn_limit_cluster", "in_train_pairs")
+@query(CAPPED)
 def wn_limit_cluster(spark: SparkSession, d: str) -> DataFrame:
     h = F.md5(F.concat_ws(":", F.lit("42"), "a", "b"))
     return P.intra_cluster(records(spark, d), "id", "cluster_id").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(h, "a", "b"))).where("k <= 50").select("cluster", "a", "b")
@@ -375,6 +406,43 @@ def strided(spark: SparkSession, d: str, least: int, most: int) -> DataFrame:
     return r.withColumn("m", m).where((F.col("m") >= F.col("n")) | ((F.floor(first * F.col("n") / F.col("m")) == F.col("k")) & (first < F.col("m")))).select("cluster_id", "id")
 
 
+def token_scores(part) -> list[float]:
+    """A stand-in scorer: shared tokens by the larger number of tokens."""
+    sets = zip(part["ta"].map(lambda t: set(t.split())), part["tb"].map(lambda t: set(t.split())), strict=True)
+    return [len(x & y) / max(len(x), len(y), 1) for x, y in sets]
+
+
+MULTI = f"""with recursive p as ({stride_sql(2, 5)}), t as (select p_partkey as id, p_brand as c, list_distinct(string_split(p_name, ' ')) as w from part where p_partkey in (select id from p)),
+g as (select distinct x.c as a, y.c as b from t x join t y on x.c < y.c where len(list_intersect(x.w, y.w)) / greatest(len(x.w), len(y.w)) >= 0.6), """
+
+
+@query(MULTI + components_sql("g") + " select c as cluster, coalesce(component, c) as merged from (select distinct p_brand as c from part) left join n on c = node")
+def jn_multi_rep(spark: SparkSession, d: str) -> DataFrame:
+    """Representatives of each cluster, their pairs across clusters, scored in batches; clusters of a score of 0.6 or more are merged."""
+    reps = records(spark, d).join(strided(spark, d, 2, 5).select("id"), "id")
+    side = lambda x: reps.select(F.col("cluster_id").alias(f"c{x}"), F.col("title").alias(f"t{x}"))
+    met = side("a").join(side("b"), F.col("ca") < F.col("cb"))
+    scored = met.mapInPandas(P.scorer(token_scores), "ca string, ta string, cb string, tb string, score double")
+    links = scored.where("score >= 0.6").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return graph.labels(reps.select(F.col("cluster_id").alias("id")).distinct(), links).select(F.col("id").alias("cluster"), F.col("label").alias("merged"))
+
+
+@query(CAPPED.replace(" select cluster, a, b from k where k <= 50", """, m as (select a, b from k where k <= 50),
+c as (select cluster_id, id, row_number() over (partition by cluster_id order by md5('42' || ':' || id), id) as j from r),
+o as (select j, id, lead(id) over (partition by j order by md5('42' || ':' || cluster_id), cluster_id) as other from c),
+x as (select least(id, other) as a, greatest(id, other) as b, row_number() over (order by md5('42' || ':' || least(id, other) || ':' || greatest(id, other)), least(id, other), greatest(id, other)) as k from o where other is not null)
+select a, b, true as match from m union all select a, b, false from x where k <= (select count(*) from m)"""))
+def in_train_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Matches, at most 50 a cluster, and as many mismatches: records of clusters that are neighbours in hash order."""
+    matches = wn_limit_cluster(spark, d).select("a", "b")
+    h = lambda c: F.md5(F.concat_ws(":", F.lit("42"), F.col(c).cast("string")))
+    ranked = records(spark, d).withColumn("j", F.row_number().over(Window.partitionBy("cluster_id").orderBy(h("id"), "id")))
+    other = ranked.withColumn("other", F.lead("id").over(Window.partitionBy("j").orderBy(h("cluster_id"), "cluster_id"))).where("other is not null")
+    pairs = other.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    some = pairs.orderBy(F.md5(F.concat_ws(":", F.lit("42"), "a", "b")), "a", "b").limit(matches.count())
+    return matches.withColumn("match", F.lit(True)).unionByName(some.withColumn("match", F.lit(False)))
+
+
 @query(stride_sql(2, 5))
 def wn_multi_rep(spark: SparkSession, d: str) -> DataFrame:
     return strided(spark, d, 2, 5)

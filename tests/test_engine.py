@@ -200,3 +200,39 @@ def test_batches_of_a_scorer():
     score = pairs.scorer(lambda part: sizes.append(len(part)) or [0.5] * len(part), 4)
     out = pd.concat(score([pd.DataFrame({"a": range(10), "b": range(10)})]))
     assert sizes == [4, 4, 2] and len(out) == 10
+
+
+def test_contraction_in_rounds_and_at_once(spark):
+    import random
+
+    from tessera.operators import graph
+
+    rng = random.Random(2)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(40)) if a < b})
+    same = [p for p in pairs if rng.random() < 0.3]
+    e, s = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(same, "a long, b long")
+    groups = lambda df: sorted(sorted(m) for m in by_label(df).values())
+
+    def by_label(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["label"], []).append(r["node"])
+        return out
+
+    assert groups(graph.contract_rounds(e, s)) == groups(graph.contract_all(e, s))
+
+
+def test_vector_distances_do_not_depend_on_blocks(spark):
+    import numpy as np
+
+    from tessera.operators import pairs as P
+
+    x = np.random.default_rng(3).standard_normal((60, 5)) * 1e-3 + 1000
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, None)], "id long, vector array<double>")
+    want = {i: sorted(((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(60) if j != i))[:3] for i in range(60)}
+    for blocks in (1, 5):
+        got = {}
+        for r in P.ranked(P.vector_pairs(v, "l2", blocks=blocks, most=3)).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append((r["dist"], r["nbr"]))
+        assert {i: [n for _, n in g] for i, g in got.items()} == {i: [n for _, n in w] for i, w in want.items()}
+        assert all(abs(d - w) < 1e-12 for i in got for (d, _), (w, _) in zip(got[i], want[i], strict=True))
