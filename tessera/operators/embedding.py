@@ -25,11 +25,23 @@ def pseudo_embedding(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+LONGEST = 8000
+
+
+def cached_vectors(records: DataFrame, text: str, cache: DataFrame, dimensions: int = 256) -> DataFrame:
+    """records (id, text) with key (md5 of the first LONGEST characters), vector, and cached: taken from cache (key, value) or computed, once a text."""
+    keyed = records.withColumn("key", F.md5(F.substring(text, 1, LONGEST)))
+    wanted = keyed.select("key", text).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    made = hashed_vectors(wanted, text, dimensions).select("key", F.col("vector").alias("made"))
+    out = keyed.join(cache.select("key", "value"), "key", "left").join(made, "key", "left")
+    return out.select("id", "key", F.coalesce("value", "made").alias("vector"), F.col("value").isNotNull().alias("cached"))
+
+
 def hashed_vectors(records: DataFrame, text: str, dimensions: int = 256) -> DataFrame:
     """records (id, text) with vector: token counts by hash, of length 1."""
     from pyspark.ml.functions import vector_to_array
 
-    tokens = records.withColumn("_t", F.split(F.lower(F.substring(text, 1, 8000)), r"\s+"))
+    tokens = records.withColumn("_t", F.split(F.lower(F.substring(text, 1, LONGEST)), r"\s+"))
     raw = HashingTF(inputCol="_t", outputCol="_v", numFeatures=dimensions).transform(tokens).withColumn("vector", vector_to_array("_v"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     return raw.withColumn("vector", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(x))).drop("_t", "_v")

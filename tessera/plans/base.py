@@ -55,8 +55,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return met.join(brand("a"), "a").join(brand("b"), "b").select("a", "b", "n", p.alias("p"), (F.col("brand_a") == F.col("brand_b")).alias("truth"))
 
 
-EDGES = f"""l as (select distinct l_orderkey as o, l_partkey as k from lineitem),
-e as (
+EDGES = f"""l as materialized (select distinct l_orderkey as o, l_partkey as k from lineitem),
+e as materialized (
   select a, b, n, {unit_sql('7', 'a', 'b')} as p, x.p_brand = y.p_brand as truth
   from (select x.k as a, y.k as b, count(*) as n from l x join l y on x.o = y.o and x.k < y.k group by 1, 2) join part x on a = x.p_partkey join part y on b = y.p_partkey)"""
 
@@ -68,7 +68,7 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).where(F.col("p") >= TAU)
 
 
-MATCHES = f"{EDGES},\nm as (select a, b, p from e where p >= {TAU})"
+MATCHES = f"{EDGES},\nm as materialized (select a, b, p from e where p >= {TAU})"
 BOTH = "s as (select a as u, b as v, p from m union all select b, a, p from m)"
 
 

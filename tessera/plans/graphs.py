@@ -96,7 +96,7 @@ def gr_synergy(spark: SparkSession, d: str) -> DataFrame:
     return graph.synergy_edges(vectors(spark, d), 1.0).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@query(f"with recursive {EDGES.replace('e as (', 'e as materialized (')}, g as (select a, b from e where case when n > 1 then truth else p >= 0.995 end), {components_sql('g')} select id as node, coalesce(component, id) as label from (select distinct unnest([a, b]) as id from e) left join n on id = node")
+@query(f"with recursive {EDGES}, g as (select a, b from e where case when n > 1 then truth else p >= 0.995 end), {components_sql('g')} select id as node, coalesce(component, id) as label from (select distinct unnest([a, b]) as id from e) left join n on id = node")
 def gr_contract_all(spark: SparkSession, d: str) -> DataFrame:
     """The whole graph contracted until no edge is left: answered pairs (n > 1) by their answer, others by inference."""
     e = stash(edges(spark, d), "edges")
@@ -168,7 +168,7 @@ def linked_sql(pairs: str, x: str) -> str:
     return components_sql(pairs).replace("w(node", f"w{x}(node").replace("select w.node", f"select w{x}.node").replace("from w join", f"from w{x} join").replace("on w.other", f"on w{x}.other").replace("n as (", f"n{x} as (").replace("from w group", f"from w{x} group")
 
 
-@query(f"""with recursive {EDGES.replace('e as (', 'e as materialized (')}, g1 as (select a, b from e where truth and p >= 0.85), g2 as (select a, b from e where truth and (p >= 0.85 or n > 1)), {linked_sql('g1', '1')}, {linked_sql('g2', '2')},
+@query(f"""with recursive {EDGES}, g1 as (select a, b from e where truth and p >= 0.85), g2 as (select a, b from e where truth and (p >= 0.85 or n > 1)), {linked_sql('g1', '1')}, {linked_sql('g2', '2')},
 z as (select distinct unnest([a, b]) as id from e where p >= 0.85)
 select (select count(*) from z) as vertices, count(*) filter (p >= 0.85) as edges, round(count(*) filter (truth and p >= 0.85) / count(*) filter (truth), 6) as recall, round(count(*) filter (truth and (p >= 0.85 or n > 1)) / count(*) filter (truth), 6) as recall_deemed,
   round(count(*) filter (truth and u.component = v.component) / count(*) filter (truth), 6) as potential, round(count(*) filter (truth and s.component = t.component) / count(*) filter (truth), 6) as potential_deemed

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions.text import unit_hash
-from ..operators import active, evaluate, graph
+from ..operators import active, embedding, evaluate, graph
 from ..operators import consistency as C
 from ..operators import inference as I
-from .base import BOTH, EDGES, MATCHES, POSTERIORS, RECORDS, VOTES, edges, matches, posteriors, query, records, table, unit_sql, votes
+from ..operators import pairs as P
+from ..sources.records import dense_index
+from ..sources.shared import stash
+from .base import BOTH, EDGES, L2, MATCHES, POSTERIORS, RECORDS, VECTORS, VOTES, edges, matches, posteriors, query, records, table, unit_sql, vectors, votes
 from .graphs import POTENTIAL
+from .pairing import components_sql
 from .scalar import CLASS, classified
 
 # Fixed parameters of the example: mean, variance, weight of each indicator for matches and mismatches.
@@ -44,9 +48,13 @@ def cols(names: list[str]) -> list:
     return [F.col(n) for n in names]
 
 
-@query(f"with {DENSITIES} select a, b, round(s0, 6) as s0, round(n3, 6) as n3 from f")
+@query(f"""with {DENSITIES} select a, b, round(s0, 6) as s0, round(n3, 6) as n3,
+  round(greatest(1e-6, case when x1 > 0 and x1 < 1 then exp(lgamma(5.5) - lgamma(2.0) - lgamma(3.5) + ln(x1) + 2.5 * ln(1 - x1)) else 0 end), 6) as beta,
+  round(greatest(1e-6, case when x2 > 0.05 then exp(1.5 * ln(4.0) - lgamma(1.5) + 0.5 * ln(x2 - 0.05) - 4.0 * (x2 - 0.05)) else 0 end), 6) as gamma from f""")
 def in_pdf(spark: SparkSession, d: str) -> DataFrame:
-    return indicators(spark, d).select("a", "b", F.round("s0", 6).alias("s0"), F.round("n3", 6).alias("n3"))
+    """Densities of the three families."""
+    families = {"beta": (F.col("x1"), {"type": "beta", "alpha": 2.0, "beta": 3.5}), "gamma": (F.col("x2"), {"type": "gamma", "alpha": 1.5, "beta": 4.0, "loc": 0.05}), "s0": (F.col("x0"), {"type": "mixture", "parts": [SAME[0]]}), "n3": (F.col("x3"), {"type": "mixture", "parts": [NOT[3]]})}
+    return indicators(spark, d).select("a", "b", *(F.round(I.density(x, family), 6).alias(name) for name, (x, family) in families.items()))
 
 
 @query(f"with {DENSITIES} select a, b, round({PS} * 0.1 / greatest({PS} * 0.1 + {PN} * 0.9, 1e-4), 6) as p, round(1 - ({PS} + {PN}) / ((s0 + n0) * (s1 + n1) * (s2 + n2) * (s3 + n3)), 6) as unknown from f", "in_bayes", "in_pairwise_all")
@@ -105,10 +113,18 @@ def in_cluster_dist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {EDGES} select round(avg(case when truth then p * p else power(greatest(0, 1 - p), 2) end), 6) as loss from e")
-def in_embed_train(spark: SparkSession, d: str) -> DataFrame:
+def in_contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).agg(F.round(F.avg(I.contrastive_loss(F.col("p"), F.col("truth"))), 6).alias("loss"))
 
 
+@query()
+def in_embed_train(spark: SparkSession, d: str) -> DataFrame:
+    """A projection learnt from pairs of vectors (same label: a match), and every vector mapped by it."""
+    v = vectors(spark, d)
+    pairs = v.select("id", F.col("vector").alias("u"), F.col("label").alias("l")).join(v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("v"), F.col("label").alias("m")), "id").select("u", "v", (F.col("l") == F.col("m")).alias("match"))
+    return embedding.project(v.select("id", "vector"), embedding.fit_projection(pairs)).select("id", "vector")
+
+
 @query()
 def in_label_soft(spark: SparkSession, d: str) -> DataFrame:
     from .scalar import name_pairs
@@ -119,9 +135,11 @@ def in_label_soft(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {EDGES}, k as (select a, b, truth, row_number() over (partition by truth order by a, b) as k, count(*) over (partition by truth) as n from e) select a, b, truth, case when k <= floor(n * 0.8) then 'train' else 'test' end as part from k")
 def in_split(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("truth")
-    k = edges(spark, d).withColumn("k", F.row_number().over(w.orderBy("a", "b"))).withColumn("n", F.count("*").over(w))
-    return k.select("a", "b", "truth", F.when(F.col("k") <= F.floor(F.col("n") * 0.8), "train").otherwise("test").alias("part"))
+    # Places in one range sort; of each kind only the count is needed (two rows).
+    k = dense_index(edges(spark, d).orderBy("truth", "a", "b").select("a", "b", "truth"), "k")
+    sizes = k.groupBy("truth").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    train = F.col("k") - F.col("first") + 1 <= F.floor(F.col("n") * 0.8)
+    return k.join(F.broadcast(sizes), "truth").select("a", "b", "truth", F.when(train, "train").otherwise("test").alias("part"))
 
 
 # Consistency
@@ -208,11 +226,33 @@ def al_inconsistency(spark: SparkSession, d: str) -> DataFrame:
     return active.triplet_pairs(triplets(spark, d), 300)
 
 
-@query(f"with {EDGES} select a, b, round(abs(p - 0.5), 9) as uncertainty from e order by uncertainty, a, b limit 300", "al_uncertainty", "al_hybrid")
+@query(f"with {EDGES} select a, b, round(abs(p - 0.5), 9) as uncertainty from e order by uncertainty, a, b limit 300")
 def al_uncertainty(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    f = evaluate.with_scores(evaluate.confusion(e.withColumn("predicted", F.col("p") >= 0.5))).first()["f1"]
-    return active.hybrid(f, e.limit(0).select("a", "b", F.col("b").alias("c"), F.col("p").alias("score")), e, 300)
+    return active.uncertain(edges(spark, d), 300).select("a", "b", "uncertainty")
+
+
+REVIEWED = "e as (select a, b, n, case when n > 1 or (a + b) % 40 > 0 then case when truth then 1.0::double else 0.0::double end else p end as p, truth from e0)"
+
+
+F1_SQL = """f as (select count(*) filter (p >= 0.5 and truth) as tp, count(*) filter (p >= 0.5 and not truth) as fp, count(*) filter (p < 0.5 and truth) as fn from e), f1 as (select round(2 * tp / (2 * tp + fp + fn), 6) as f1 from f)"""
+
+
+@query(f"""with {EDGES.replace('e as materialized (', 'e0 as materialized (')}, {REVIEWED}, {F1_SQL}, m as (select a, b, p from e where p >= 0.85), t as (select x.a, x.b, y.b as c, round(x.p * y.p * (1 - coalesce(e.p, 0.5)), 9) as score from m x join m y on x.b = y.a left join e on e.a = x.a and e.b = y.b where coalesce(e.p, 0) < 0.85), {THREE}, u as (select g.*, round(abs(coalesce(e.p, 0.5) - 0.5), 9) as u from g left join e on e.a = x and e.b = y),
+one as (select *, row_number() over (partition by a, b, c order by u, place) as k from u), w as (select *, row_number() over (partition by x, y order by score desc, a, b, c) as k2 from one where k = 1),
+core as (select x as a, y as b, u as uncertainty from w where k2 = 1 order by u, x, y limit 300), near as (select a, b, round(abs(p - 0.5), 9) as uncertainty from e0 order by uncertainty, a, b limit 300),
+f0 as (select round(2 * count(*) filter (p >= 0.5 and truth) / (2 * count(*) filter (p >= 0.5 and truth) + count(*) filter (p >= 0.5 and not truth) + count(*) filter (p < 0.5 and truth)), 6) as f1 from e0)
+select 'before' as state, near.* from near, f0 where f1 < 0.75 union all select 'after', core.* from core, f1 where f1 >= 0.75""")
+def al_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Uncertainty while F1 is under 0.75, then the core of inconsistency: before and after most pairs were reviewed."""
+    e = stash(edges(spark, d), "edges")
+    told = F.when((F.col("n") > 1) | ((F.col("a") + F.col("b")) % 40 > 0), F.col("truth").cast("double")).otherwise(F.col("p"))
+    out = None
+    for state, scores in (("before", e), ("after", stash(e.withColumn("p", told), "reviewed"))):
+        f = evaluate.with_scores(evaluate.confusion(scores.withColumn("predicted", F.col("p") >= 0.5))).first()["f1"]
+        t = C.triplets(scores, 0.85).withColumn("score", F.round("score", 9))
+        part = active.hybrid(f, t, scores, 300).select(F.lit(state).alias("state"), "a", "b", "uncertainty")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"with {POSTERIORS} select a, b, round(inf_unknown, 6) as unknown from q order by inf_unknown desc, a, b limit 300")
@@ -220,11 +260,19 @@ def al_qbc(spark: SparkSession, d: str) -> DataFrame:
     return active.most_unknown(posteriors(spark, d), 300).select("a", "b", F.round("inf_unknown", 6).alias("unknown"))
 
 
-@query()
+MIDPOINTS = f"""{EDGES}, {VECTORS}, y as (select e.a, e.b, n > 1 as answered, list_transform(range(1, 65), lambda i: (u.vector[i] + w.vector[i]) / 2) as v from e join x u on e.a = u.id join x w on e.b = w.id),
+near as (select p.a, p.b, count(q.a) as near from (select * from y where not answered) p left join (select * from y where answered) q on {L2.format('p.v', 'q.v')} <= 0.8 group by 1, 2)"""
+
+
+@query(f"with {MIDPOINTS} select a, b, near from near order by near, a, b limit 300")
 def al_diversity(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    near = e.where("n = 1").select("a", "b").join(e.where("n > 1").select("a"), "a")
-    return active.diversity(e.where("n = 1").select("a", "b"), near, 300)
+    """Pending pairs that are near no answered one first, then those near few: distances between midpoints of the pairs' vectors."""
+    at = lambda x: vectors(spark, d).select(F.col("id").alias(x), F.col("vector").alias(f"v{x}"))
+    pairs = edges(spark, d).join(at("a"), "a").join(at("b"), "b").select("a", "b", (F.col("n") > 1).alias("answered"), F.zip_with("va", "vb", lambda x, y: (x + y) / 2).alias("vector"))
+    pairs = stash(dense_index(pairs, "id"), "midpoints")
+    near = P.vector_pairs(pairs.select("id", "vector"), "l2", within=0.8)
+    pending, answered = pairs.where(~F.col("answered")).select(F.col("id").alias("src"), "a", "b"), pairs.where("answered").select(F.col("id").alias("nbr"))
+    return active.diversity(pending.select("a", "b"), near.join(answered, "nbr").join(pending, "src").select("a", "b"), 300).select("a", "b", "near")
 
 
 @query(f"with {EDGES} select a, b from e order by md5('42' || ':' || a || ':' || b), a, b limit 300")
@@ -232,9 +280,17 @@ def al_random(spark: SparkSession, d: str) -> DataFrame:
     return active.random_pairs(edges(spark, d).select("a", "b"), 300)
 
 
-@query(f"with {TRIANGLES}, g as (select a, b, score from t union all select b, c, score from t union all select a, c, score from t) select a, b, max(score) as score from g group by 1, 2 order by score desc, a, b limit 300")
+@query(f"""with {TRIANGLES}, g as (select a, b, score, a as t1, b as t2, c as t3, 0 as place, round(abs(pab - 0.5), 9) as u from t union all select b, c, score, a, b, c, 1, round(abs(pbc - 0.5), 9) from t union all select a, c, score, a, b, c, 2, round(abs(pac - 0.5), 9) from t),
+one as (select *, row_number() over (partition by t1, t2, t3 order by u, place) as r from g),
+x as (select a, b, max(score) as score from g group by 1, 2 order by score desc, a, b limit 300), y as (select a, b, max(score) as score from one where r = 1 group by 1, 2 order by score desc, a, b limit 300), z as (select a, b, c, score from t order by score desc, a, b, c limit 100)
+select 'BINARY' as mode, a, b, null as c, score from x union all select 'BINARY_UNCERTAINTY', a, b, null, score from y union all select 'TRINARY', a, b, c, score from z""")
 def al_axiom(spark: SparkSession, d: str) -> DataFrame:
-    return active.axiom_edges(scored(spark, d).select("a", "b", "c", "score"), 300)
+    """The worst pairs by their triangles, each triangle's most uncertain pair, and whole triangles at a cost of three."""
+    t = stash(scored(spark, d), "triangles")
+    pairs = active.axiom_edges(t.select("a", "b", "c", "score"), 300), active.axiom_uncertain(t, 300)
+    parts = [x.select(F.lit(mode).alias("mode"), "a", "b", F.lit(None).cast("long").alias("c"), "score") for mode, x in zip(("BINARY", "BINARY_UNCERTAINTY"), pairs, strict=True)]
+    whole = active.axiom_triangles(t, 300).select(F.lit("TRINARY").alias("mode"), "a", "b", "c", "score")
+    return parts[0].unionByName(parts[1]).unionByName(whole)
 
 
 @query(f"""with {POSTERIORS}, w as (select *, row_number() over (partition by truth order by md5('42' || ':' || a || ':' || b), a, b) as k from q where (truth and inf_unknown >= 0.1 and inf_unknown < 0.5) or (not truth and inf_unknown >= 0.2 and inf_unknown < 0.9))
@@ -337,9 +393,19 @@ def ev_worker(spark: SparkSession, d: str) -> DataFrame:
     return answers.unionByName(evaluate.confusion(pairs).select(F.lit("pair").alias("level"), "tp", "fp", "fn", "tn"))
 
 
-@query(f"with {POSTERIORS}, c as (select truth, {CLASS} as decision from q) select decision, count(*) as pairs, count(*) filter (truth) as matches from c group by 1", "ev_report", "ev_sun_table")
+@query(f"with {POSTERIORS}, c as (select truth, n, {CLASS} as decision from q) select decision, count(*) as pairs, count(*) filter (truth) as matches, count(*) filter (n > 1) as human, count(*) filter (n = 1) as machine from c group by 1")
 def ev_report(spark: SparkSession, d: str) -> DataFrame:
-    return classified(spark, d).groupBy("decision").agg(F.count("*").alias("pairs"), F.count_if("truth").alias("matches"))
+    """Pairs by decision, how many are matches, and how many people (answered, n > 1) and the machine decided."""
+    human = F.count_if(F.col("n") > 1).alias("human"), F.count_if(F.col("n") == 1).alias("machine")
+    return classified(spark, d).groupBy("decision").agg(F.count("*").alias("pairs"), F.count_if("truth").alias("matches"), *human)
+
+
+@query(f"with {POSTERIORS}, c as (select truth, {CLASS} as decision from q) select scope, count(*) filter (decision = 'SAME') as same, count(*) filter (decision = 'NOT_SAME') as no, count(*) filter (decision = 'UNKNOWN') as unknown from (select 'matched' as scope, decision from c where truth union all select 'all', decision from c) group by 1")
+def ev_sun_table(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions crossed with whether pairs match: of matched pairs, and of all."""
+    c = classified(spark, d).withColumn("scope", F.explode(F.when(F.col("truth"), F.array(F.lit("matched"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
+    is_ = lambda x, name: F.count_if(F.col("decision") == x).alias(name)
+    return c.groupBy("scope").agg(is_("SAME", "same"), is_("NOT_SAME", "no"), is_("UNKNOWN", "unknown"))
 
 
 @query("""with c as (select count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 1 and toxic = 1) as fp, count(*) filter (quality = 0 and toxic = 0) as fn, count(*) filter (quality = 0 and toxic = 1) as tn from labels),
@@ -361,20 +427,57 @@ q as (select mi / hc as h, mi / hl as g, (tp - l * k / (total * (total - 1) / 2)
 select round(ari, 6) as ari, round(2 * h * g / (h + g), 6) as nmi, round(h, 6) as homogeneity, round(g, 6) as completeness, round(2 * h * g / (h + g), 6) as v from q""".replace("ln(n * z / (ln * cn))", "ln(n * z / (l.ln * k.cn))").replace("sum(ln / z * ln(ln / z))", "sum(l.ln / z * ln(l.ln / z))").replace("sum(cn / z * ln(cn / z))", "sum(k.cn / z * ln(k.cn / z))").replace("from s, i, hl, hc", "from s, i, hl, hc")
 
 
-@query(INFORMATION, "ev_cluster_info", "ev_llm_model")
+@query(INFORMATION)
 def ev_cluster_info(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.information(records(spark, d))
 
 
-@query(f"with {EDGES} select case when p >= 0.5 then 'FP' else 'FN' end as error, count(*) as n, count(*) filter (n > 1) as repeated from e where (p >= 0.5) <> truth group by 1")
+@query(f"""with {EDGES}, {RECORDS}, k as (select p >= 0.7 as model, truth, jaro_winkler_similarity(x.title, y.title) > 0.8 and jaro_winkler_similarity(x.author, y.author) > 0.7 as told from e join r x on a = x.id join r y on b = y.id)
+select case when model = truth then 'none' when model then 'FP' else 'FN' end as by_truth, case when model = told then 'none' when model then 'FP' else 'FN' end as by_reference, count(*) as n from k group by 1, 2""")
 def ev_errors(spark: SparkSession, d: str) -> DataFrame:
-    wrong = edges(spark, d).where((F.col("p") >= 0.5) != F.col("truth"))
-    return wrong.groupBy(F.when(F.col("p") >= 0.5, "FP").otherwise("FN").alias("error")).agg(F.count("*").alias("n"), F.count_if(F.col("n") > 1).alias("repeated"))
+    """Errors of the model (from 0.7) by the truth, and by a reference: titles over 0.8 and authors over 0.7 alike."""
+    at = lambda x: records(spark, d).select(F.col("id").alias(x), F.col("title").alias(f"t{x}"), F.col("author").alias(f"u{x}"))
+    both = edges(spark, d).join(at("a"), "a").join(at("b"), "b")
+    for x, y, name in (("ta", "tb", "title"), ("ua", "ub", "author")):
+        both = both.join(both.select(x, y).distinct().withColumn(name, S.jaro_winkler(x, y)), [x, y])
+    model, told = F.col("p") >= 0.7, (F.col("title") > 0.8) & (F.col("author") > 0.7)
+    error = lambda right: F.when(model == right, "none").when(model, "FP").otherwise("FN")
+    return both.groupBy(error(F.col("truth")).alias("by_truth"), error(told).alias("by_reference")).agg(F.count("*").alias("n"))
+
+
+CURVE = " union all ".join(f"select '{name}' as strategy, p, truth, row_number() over (order by {order}, a, b) - 1 as place from e" for name, order in (("uncertainty", "round(abs(p - 0.5), 9)"), ("random", "md5('42' || ':' || a || ':' || b)")))
 
 
-@query("select event_type, cast(extract(day from ts) as int) as counter, round(avg(value), 6) as f1 from events group by 1, 2")
+@query(f"""with {EDGES}, o as ({CURVE}), t as (select unnest(range(11)) * 1000 as tasks),
+c as (select strategy, tasks, count(*) filter (truth and (place < tasks or p >= 0.5)) as tp, count(*) filter (not truth and place >= tasks and p >= 0.5) as fp, count(*) filter (truth and place >= tasks and p < 0.5) as fn from o, t group by 1, 2)
+select strategy, tasks, round(2 * round(tp / (tp + fp), 6) * round(tp / (tp + fn), 6) / (round(tp / (tp + fp), 6) + round(tp / (tp + fn), 6)), 6) as f1 from c""")
 def ev_pr_curve(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type", F.dayofmonth("ts").alias("counter")).agg(F.round(F.avg("value"), 6).alias("f1"))
+    """F1 after 0, 1000, ... 10000 review tasks, by the order in which pairs are asked about."""
+    e = stash(edges(spark, d), "edges")
+    orders = {"uncertainty": F.round(F.abs(F.col("p") - 0.5), 9), "random": F.md5(F.concat_ws(":", F.lit("42"), "a", "b"))}
+    out = None
+    for name, order in orders.items():
+        step = dense_index(e.orderBy(order, "a", "b"), "place").withColumn("tasks", F.explode(F.sequence(F.lit(0), F.lit(10_000), F.lit(1_000))))
+        told = F.col("place") < F.col("tasks")
+        counted = step.withColumn("predicted", F.when(told, F.col("truth")).otherwise(F.col("p") >= 0.5))
+        part = evaluate.with_scores(evaluate.confusion(counted, keys=["tasks"])).select(F.lit(name).alias("strategy"), F.col("tasks").cast("long").alias("tasks"), "f1")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""with recursive {EDGES}, s as (select a, b, truth, (a + b) % 3 = 0 as said from e where n > 1), g as (select a, b from s where said), {components_sql('g')},
+c as (select count(*) filter (said and truth) as tp, count(*) filter (said and not truth) as fp, count(*) filter (not said and truth) as fn, count(*) filter (not said and not truth) as tn from s),
+k as (select p_brand as c, coalesce(component, p_partkey) as l, count(*) as n from part left join n on p_partkey = node group by 1, 2), z as (select count(*) as clusters, sum(top) as top, sum(size) as size from (select l, max(n) as top, sum(n) as size from k group by 1))
+select tp, fp, fn, tn, clusters, round(top / size, 6) as purity from c, z""")
+def ev_llm_model(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in scorer over a list of pairs: its confusion, then the clusters that its matches make and their purity."""
+    listed = edges(spark, d).where("n > 1").select("a", "b", "truth")
+    stub = lambda part: [1.0 if (a + b) % 3 == 0 else 0.25 for a, b in zip(part["a"], part["b"], strict=True)]
+    said = stash(listed.mapInPandas(P.scorer(stub), "a long, b long, truth boolean, score double").withColumn("predicted", F.col("score") >= 0.5), "said")
+    label = graph.labels(records(spark, d).select("id"), said.where("predicted"))
+    clusters = evaluate.group_overlap(records(spark, d).drop("label").join(label, "id")).select(F.col("labels").alias("clusters"), F.col("group_precision").alias("purity"))
+    # One row each.
+    return evaluate.confusion(said).join(clusters).select("tp", "fp", "fn", "tn", "clusters", "purity")
 
 
 @query(f"with {POSTERIORS} select case when p >= 0.85 then 'exist' when p >= 0.5 then 'potential' else 'none' end as kind, cast(floor(inf_unknown * 10) as int) as bin, count(*) as n from q where truth group by 1, 2")

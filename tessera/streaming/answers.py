@@ -48,6 +48,17 @@ def run_once(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def resume(stream: DataFrame, spark: SparkSession, out: str, state: str) -> DataFrame:
+    """What has come since the checkpoint in `state` (or from the start) goes through the stream and is added to the table `out`; all of it so far."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # A batch that is run again after a loss replaces what it wrote before.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def sampled(spark: SparkSession, seconds: int) -> DataFrame:
     """at, load: the driver's load, once a second."""
     rows = []
