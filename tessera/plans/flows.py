@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import similarity as S
-from ..functions import text as X
 from ..operators import embedding
 from ..operators import pairs as P
 from ..sources import tasks as T
@@ -161,5 +160,3 @@ def ss_queue_stream(spark: SparkSession, d: str) -> DataFrame:
 def ss_sampler(spark: SparkSession, d: str) -> DataFrame:
     return live.sampled(spark, 1).agg((F.count("*") > 0).alias("sampled"))
 
-
-__all__ = ["X"]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import unit_hash
-from ..operators import active
 from ..sources import records as R
 from ..sources import tasks as T
 from ..sources.shared import fresh_path, stash, written
@@ -344,5 +342,3 @@ def ss_queue(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     return T.open_tasks(e.select("a", "b"), e.where("n > 1"))
 
-
-__all__ = ["active", "unit_hash"]
