@@ -395,3 +395,20 @@ def test_words_are_split_as_patterns_say():
     alnum = kernel.of_column(pa.array(t), kernel.NOT_ALNUM, True)
     assert spaced.counts.tolist() == [3, 0, 2, 0] and alnum.counts.tolist() == [3, 0, 4, 0]
     assert alnum.text(3, 4) == [b"x", b"1", "é".encode(), b"Z"]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x", "c", "c"), (2, None, "x", "c", "c")], "page_id long, url string, html string, digest string, response string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
+    turns = spark.createDataFrame([(1, 0, "assistant", "hi", "c", "c")], "conv_id long, turn long, role string, text string, turns string, example string")
+    assert [r["formatted"] for r in chat_format.format_chats(turns).collect()] == ["<s>hi</s>"]
+    assert chat_format.format_chats(turns.limit(0)).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert nn_descent.nearest_neighbours(none).count() == 0
+
+
+def test_nearest_neighbours_with_ties_and_repeated_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(-4, 5)] + [(0, [0.0, 1.0]), (100, [0.0, 1.0])]
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in nn_descent.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=3).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 100, 0.0), (2, -1, 1.0), (3, 1, 1.0)]
