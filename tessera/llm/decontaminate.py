@@ -108,6 +108,7 @@ def scanner(windows: Windows, columns: list[str], suffix: str) -> Callable[[Iter
                     [*(part.column(c) for c in columns), pa.array(words.counts, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, spans_kind), pa.array(bytes_of, spans_kind)],
                     [*columns, "n_words", *(f"{c}{suffix}" for c in ("items", "hits", "spans"))],
                 )
+            K.give_back()
 
     return scan
 

@@ -115,6 +115,7 @@ def region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             found = regions_of(batch.column("signature").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), TREES))], ["region", "rep"])
+    K.give_back()
 
 
 def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +131,7 @@ def forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [values[:, (t * LEAST + i) % VALUES, : 3 if i < LEAST else 2] for i in range(DEPTH)]
             keys = np.concatenate([np.full((n, 1), t, np.uint8), *own], 1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in keys], pa.binary()), batch.column("rep"), sketch], ["key", "rep", "sketch"])
+        K.give_back()
 
 
 def neighbours(least: float):
@@ -171,6 +173,7 @@ def neighbours(least: float):
             held = keys[-NEAR - 1 :], sketch[-NEAR - 1 :], reps[-NEAR - 1 :]
         if held is not None:
             yield unfinished(held[0][-1:])
+        K.give_back()
 
     return scan
 
@@ -194,6 +197,7 @@ def confirmer(width: int, percent: int):
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            K.give_back()
 
     return confirm
 
@@ -255,6 +259,7 @@ def crowd_linker(width: int, percent: int, least: float):
                     root[u] = v
                     out[0].append(ids[p])
                     out[1].append(ids[q])
+        K.give_back()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return link
@@ -295,6 +300,7 @@ def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(1)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
+        K.give_back()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:

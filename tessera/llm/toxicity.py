@@ -104,10 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int
             for x, y in zip(batch.column("features"), batch.column("label").to_pylist(), strict=True):
                 model.learn(unpacked(x.as_py()), y)
                 any_row = True
-        w = model.weights(slice(None))
+        w, bias = model.weights(slice(None)), model.bias_weight()
         at = np.flatnonzero(w)
+        model.z = model.n = None
+        K.give_back()
         if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([model.bias_weight(), *w[at].tolist()], pa.float64())], ["feature", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *w[at].tolist()], pa.float64())], ["feature", "weight"])
 
     encoded = stash(rows.mapInArrow(encode, "id string, place long, label int, features binary"), "features")
     epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
@@ -155,6 +157,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], columns: list[str]
                 total = np.bincount(keys >> BITS, weights=w[keys & ((1 << BITS) - 1)], minlength=part.num_rows) + bias
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
+            K.give_back()
 
     return narrow.mapInArrow(apply, with_fields(narrow, "score double"))
 
