@@ -52,7 +52,7 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import chat_format, components, decontaminate, kernel, minhash_forest, nn_descent, rabin_karp, rlbwt, sentencepiece_codec, toxicity, url_filter, warc
-from tessera.llm.queries import TOKENIZER
+from tessera.llm.queries import TOKENIZER, op4_minhash_forest
 
 DOCS = "doc_id long, text string, spans string, score string"
 
@@ -412,3 +412,8 @@ def test_nearest_neighbours_with_ties_and_repeated_rows(spark):
     rows = [(i, [float(i), 1.0]) for i in range(-4, 5)] + [(0, [0.0, 1.0]), (100, [0.0, 1.0])]
     got = [(r["rank"], r["vec_id"], r["score"]) for r in nn_descent.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=3).where("query_id = 0").orderBy("rank").collect()]
     assert got == [(1, 100, 0.0), (2, -1, 1.0), (3, 1, 1.0)]
+
+
+def test_near_duplicate_query_has_the_columns_of_its_sql(spark):
+    found = op4_minhash_forest(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"]
