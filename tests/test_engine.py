@@ -236,3 +236,14 @@ def test_vector_distances_do_not_depend_on_blocks(spark):
             got.setdefault(r["src"], []).append((r["dist"], r["nbr"]))
         assert {i: [n for _, n in g] for i, g in got.items()} == {i: [n for _, n in w] for i, w in want.items()}
         assert all(abs(d - w) < 1e-12 for i in got for (d, _), (w, _) in zip(got[i], want[i], strict=True))
+
+
+def test_records_are_numbered_in_file_order(spark, tmp_path):
+    folder, k = tmp_path / "records.tsv", 0
+    folder.mkdir()
+    # Later files are larger: a reader takes the largest first.
+    for part, n in enumerate((2, 50, 2000)):
+        folder.joinpath(f"part-{part:05d}.tsv").write_text("title\n" + "".join(f"t{i}\n" for i in range(k, k + n)))
+        k += n
+    got = R.read_any(spark, f"file://{folder}", ["title"]).select("idx", R.field("title").alias("title")).collect()
+    assert sorted((r["idx"], r["title"]) for r in got) == [(i, f"t{i}") for i in range(k)]
