@@ -77,7 +77,9 @@ def dispatch(platform: str, pairs: DataFrame, path: str) -> list[tuple[int, str]
     }
     out = []
     for number, order in enumerate(PLATFORMS[platform], 1):
-        numbered(pairs, orders[order]).select("at", "a", "b").write.csv(name := f"{path}/{platform}-{number:04d}", header=True)
+        # Only the ends go on after the sort.
+        places = dense_index(pairs.orderBy(orders[order], "a", "b").select("a", "b"), "at")
+        places.select((F.col("at") + 1).alias("at"), "a", "b").write.csv(name := f"{path}/{platform}-{number:04d}", header=True)
         out.append((number, name))
     return out
 

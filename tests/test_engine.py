@@ -11,7 +11,7 @@ from tessera.functions import similarity as S
 from tessera.functions import text as X
 from tessera.operators import active, consistency, evaluate, graph, pairs
 from tessera.operators import inference as I
-from tessera.plans import pairing
+from tessera.plans import io, pairing
 from tessera.plans.workflow import Workflow
 from tessera.sources import records as R
 from tessera.sources import tasks as T
@@ -262,3 +262,10 @@ def test_information_of_large_clusters(spark):
     rows = spark.range(80_001).select("id", *(F.when(F.col("id") < 80_000, "x").otherwise("y").alias(c) for c in ("label", "cluster_id")))
     i = evaluate.information(rows).first()
     assert (i["ari"], i["v"]) == (1.0, 1.0)
+
+
+def test_order_sums_over_64_bits(spark):
+    rows = [("P", 1, 1 << 40, 1 << 21, 0)] * 4 + [("P", 2, 1, 5, 7)]
+    frame = spark.createDataFrame(rows, "platform string, file int, at long, a long, b long")
+    assert {r["file"]: int(r["order_sum"]) for r in io.order_sums(frame).collect()} == {1: 1 << 63, 2: 26}
+    assert io.order_sums(frame.where("file = 2")).schema["order_sum"].dataType.typeName() == "long"
