@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.similarity import l2_normalised
+
 DIMENSIONS = 64
 
 
@@ -43,8 +45,7 @@ def hashed_vectors(records: DataFrame, text: str, dimensions: int = 256) -> Data
 
     tokens = records.withColumn("_t", F.split(F.lower(F.substring(text, 1, LONGEST)), r"\s+"))
     raw = HashingTF(inputCol="_t", outputCol="_v", numFeatures=dimensions).transform(tokens).withColumn("vector", vector_to_array("_v"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("vector", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(x))).drop("_t", "_v")
+    return raw.withColumn("vector", l2_normalised(F.col("vector"))).drop("_t", "_v")
 
 
 def fit_projection(pairs: DataFrame, out: int = 16, rounds: int = 30, rate: float = 0.05, sample: int = 20_000, seed: int = 7) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as S
 from tessera.functions import text as X
-from tessera.operators import active, consistency, evaluate, graph, pairs
+from tessera.operators import active, consistency, embedding, evaluate, graph, pairs
 from tessera.operators import inference as I
 from tessera.plans import io, pairing
 from tessera.plans.workflow import Workflow
@@ -285,3 +285,10 @@ def test_norms_are_computed_once_a_row(spark):
     got = one(spark, X.onehot_digits(F.lit("12"), 30).alias("v"), S.l2_normalised(F.array(F.lit(0.0), F.lit(0.0))).alias("z"), S.l2_normalised(F.lit(None).cast("array<double>")).alias("n"))
     assert [round(x, 6) for x in got["v"]] == [0.707107 if i in (1, 12) else 0.0 for i in range(30)]
     assert got["z"] == [0.0, 0.0] and got["n"] is None
+
+
+def test_vectors_by_cache(spark):
+    vectors = embedding.hashed_vectors(spark.range(0, 20_000, 1, 1).select("id", F.concat(F.lit("ring "), "id").alias("t")), "t")
+    began = time.time()
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    assert vectors.where(F.abs(norm - 1) < 1e-9).count() == 20_000 and time.time() - began < 20
