@@ -292,3 +292,20 @@ def test_vectors_by_cache(spark):
     began = time.time()
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     assert vectors.where(F.abs(norm - 1) < 1e-9).count() == 20_000 and time.time() - began < 20
+
+
+def test_buckets_without_rows_for_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BUCKET_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-4, 4, (60, 5)) / 4
+    rows = [(int(i % 55), [None if v == 0.75 else float(v) for v in r]) for i, r in enumerate(x)] + [(90, None), (91, [0.5])]
+    got = pairs.bucket_pairs(spark.createDataFrame(rows, "id long, vector array<double>"), top=4, scale=2, shared=2)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    dims = [r["dim"] for r in pairs.variance_dimensions(spark.createDataFrame(rows, "id long, vector array<double>"), 4).collect()]
+    cells = [(i, {d: math.floor(v[d] * 2) for d in dims if v and d < len(v) and v[d] is not None}) for i, v in rows]
+    want = {}
+    for i, u in cells:
+        for j, v in cells:
+            if i < j:
+                want[i, j] = want.get((i, j), 0) + sum(u[d] == v[d] for d in u.keys() & v.keys())
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
