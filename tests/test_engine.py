@@ -309,3 +309,12 @@ def test_buckets_without_rows_for_all_pairs(spark, monkeypatch):
             if i < j:
                 want[i, j] = want.get((i, j), 0) + sum(u[d] == v[d] for d in u.keys() & v.keys())
     assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_pairs_of_one_cluster_are_dealt_to_many_tasks(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2990, "x").when(F.col("id") < 2999, "y").alias("c"))
+    met = pairs.intra_cluster(rows, "id", "c")
+    tasks = met.groupBy(F.spark_partition_id().alias("t"), "cluster").agg(F.count("*").alias("n"), F.count_if(F.col("a") >= F.col("b")).alias("bad")).collect()
+    assert sum(r["n"] for r in tasks) == 2990 * 2989 // 2 + 9 * 8 // 2 and not any(r["bad"] for r in tasks)
+    assert max(r["n"] for r in tasks) < 2990 * 2989 // 8
+    assert met.distinct().count() == met.count()
