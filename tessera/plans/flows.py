@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import similarity as S
-from ..operators import embedding
+from ..operators import copies, embedding
 from ..operators import pairs as P
 from ..sources import tasks as T
 from ..sources.records import dense_index
@@ -19,7 +19,7 @@ from ..sources.shared import fresh_path
 from ..streaming import answers as live
 from .base import COS, EDGES, VECTORS, VOTES, edges, query, table, vectors, votes
 from .graphs import components_sql
-from .workflow import Workflow, resolve
+from .workflow import Workflow
 
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '[^ \\x09-\\x0D]+'))"
 
@@ -39,14 +39,7 @@ def pipeline_dedup(spark: SparkSession, d: str) -> DataFrame:
 def dedup(docs: DataFrame, least: float) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \x09-\x0D]+"), lambda t: t != "")
     sets = docs.select(F.col("doc_id").alias("id"), F.array_distinct(words).alias("items"))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        from ..functions.similarity import set_jaccard
-
-        at = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"i{x}"))
-        return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", set_jaccard(F.col("ia"), F.col("ib")).alias("p"))
-
-    return resolve(sets, lambda r: P.minhash_pairs(r, bands=24, rows=4), score, least)
+    return copies.near_copies(sets, least, bands=24, rows=4)
 
 
 @query(f"with {EDGES} select a, b, round(case when (a + b) % 3 = 0 then 1.0 else 0.25 end, 6)::double as score from e")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as S
 from tessera.functions import text as X
-from tessera.operators import active, consistency, embedding, evaluate, graph, pairs
+from tessera.operators import active, consistency, copies, embedding, evaluate, graph, pairs
 from tessera.operators import inference as I
 from tessera.plans import io, pairing
 from tessera.plans.workflow import Workflow
@@ -332,3 +332,16 @@ def test_lowest_pairs_by_hash(spark, monkeypatch):
     # A cluster whose rows are copies has fewer pairs than its size says, and is done again.
     copies = spark.createDataFrame([(i % 3, "x") for i in range(300)], "id long, c string")
     assert pairs.lowest_pairs(copies, "id", "c", 1000).count() == 1000
+
+
+def test_near_copies_in_a_crowd_make_few_pairs(spark, monkeypatch):
+    compared = []
+    monkeypatch.setattr(copies, "stash", lambda df, what, f=copies.stash: (lambda out: compared.append(out.count()) or out if what == "pairs" else out)(f(df, what)))
+    # 200 variants of one text, a chain whose ends are not alike, copies, and texts by themselves.
+    crowd = [(i, [f"w{k}" for k in range(100)] + [f"v{i}"]) for i in range(200)]
+    chain = [(300 + i, [f"c{k}" for k in range(i * 4, i * 4 + 40)]) for i in range(10)]
+    rest = [(400, ["x", "y"]), (401, ["y", "x"]), (402, ["x"]), (403, []), (404, None)]
+    sets = spark.createDataFrame(crowd + chain + rest, "id long, items array<string>")
+    got = {r["id"]: r["label"] for r in copies.near_copies(sets, 0.8).collect()}
+    assert got == {i: 0 for i in range(200)} | {300 + i: 300 for i in range(10)} | {400: 400, 401: 400, 402: 402, 403: 403, 404: 404}
+    assert sum(compared) < 3000
