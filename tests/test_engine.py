@@ -17,6 +17,7 @@ from tessera.plans import io, pairing
 from tessera.plans.workflow import Workflow
 from tessera.sources import records as R
 from tessera.sources import tasks as T
+from tessera.sources.shared import written
 
 
 def pairs_of(spark, rows, columns="a long, b long, p double"):
@@ -345,3 +346,14 @@ def test_near_copies_in_a_crowd_make_few_pairs(spark, monkeypatch):
     got = {r["id"]: r["label"] for r in copies.near_copies(sets, 0.8).collect()}
     assert got == {i: 0 for i in range(200)} | {300 + i: 300 for i in range(10)} | {400: 400, 401: 400, 402: 402, 403: 403, 404: 404}
     assert sum(compared) < 3000
+
+
+def test_matched_pairs_are_dealt_to_many_tasks_and_written_small(spark):
+    rows = spark.range(1500).select("id", F.lit("x").alias("label"), (F.col("id") % 2).cast("string").alias("cluster_id"), F.lit("a title").alias("title"))
+    met = R.matched_pairs(rows, ["title"])
+    assert met.columns == ["label", "id1", "title1", "id2", "title2", "correct"]
+    tasks = met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if("correct").alias("c"), F.count_if(F.col("id1") >= F.col("id2")).alias("bad")).collect()
+    assert (sum(r["n"] for r in tasks), sum(r["c"] for r in tasks), sum(r["bad"] for r in tasks)) == (1500 * 1499 // 2, 2 * (750 * 749 // 2), 0)
+    assert max(r["n"] for r in tasks) < 1500 * 1499 // 4
+    back = written(met, "pairs", "csv", "gzip")
+    assert back.count() == 1500 * 1499 // 2 and all(f.endswith(".gz") for f in back.inputFiles())
