@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import time
 
 import numpy as np
@@ -357,3 +358,11 @@ def test_matched_pairs_are_dealt_to_many_tasks_and_written_small(spark):
     assert max(r["n"] for r in tasks) < 1500 * 1499 // 4
     back = written(met, "pairs", "csv", "gzip")
     assert back.count() == 1500 * 1499 // 2 and all(f.endswith(".gz") for f in back.inputFiles())
+
+
+def test_pairs_of_a_cluster_come_in_runs_of_one_record(spark):
+    rows = spark.range(1200).select("id", F.lit("x").alias("c"))
+    a = np.array([r["a"] for r in pairs.intra_cluster(rows, "id", "c").select("a").collect()])
+    assert len(a) == 1200 * 1199 // 2
+    # Columnar files of the result stay small.
+    assert (np.diff(a) != 0).sum() < len(a) / 50
