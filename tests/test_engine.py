@@ -366,3 +366,11 @@ def test_pairs_of_a_cluster_come_in_runs_of_one_record(spark):
     assert len(a) == 1200 * 1199 // 2
     # Columnar files of the result stay small.
     assert (np.diff(a) != 0).sum() < len(a) / 50
+
+
+def test_a_file_of_matched_pairs_takes_less_than_a_byte_a_pair(spark, tmp_path):
+    part = spark.range(1500).select(F.col("id").alias("p_partkey"), F.concat(F.lit("a title "), F.col("id") % 40).alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"), F.lit(1).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    back = io.snk_matched_pairs(spark, str(tmp_path))
+    assert back.distinct().count() == back.count() == 1500 * 1499 // 2 and back.where("id1 >= id2 or not correct").isEmpty()
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in back.inputFiles()) < 1500 * 1499 // 2
