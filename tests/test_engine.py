@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import digest
 from tessera.functions import similarity as S
 from tessera.functions import text as X
 from tessera.operators import active, consistency, copies, embedding, evaluate, graph, pairs
@@ -374,3 +375,28 @@ def test_a_file_of_matched_pairs_takes_less_than_a_byte_a_pair(spark, tmp_path):
     back = io.snk_matched_pairs(spark, str(tmp_path))
     assert back.distinct().count() == back.count() == 1500 * 1499 // 2 and back.where("id1 >= id2 or not correct").isEmpty()
     assert sum(os.path.getsize(f.removeprefix("file://")) for f in back.inputFiles()) < 1500 * 1499 // 2
+
+
+def test_low_digests_of_pairs():
+    rows = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(len(xs), -1)
+    for before, after in ((b"42:%05d:", b"%05d"), (b"42:%03d:", b"%08d"), (b"%08d", b"x%046d"), (b"%048d", b"%07d"), (b"%052d", b"%03d")):
+        p, s, start = [before % i for i in range(40)], [after % i for i in range(1000)], np.minimum(np.arange(40) * 20, 1000)
+        x, y = digest.low_pairs(rows(p), start, rows(s), 1 << 28)
+        want = {(i, j) for i in range(40) for j in range(start[i], 1000) if int(hashlib.md5(p[i] + s[j]).hexdigest()[:8], 16) <= 1 << 28}
+        assert len(x) == len(want) > 100 and set(zip(x.tolist(), y.tolist(), strict=True)) == want
+
+
+def test_lowest_pairs_of_other_keys_and_copies_in_rounds(spark, monkeypatch):
+    low = []
+    monkeypatch.setattr(pairs, "stash", lambda df, what, f=pairs.stash: (lambda out: low.append(out.count()) or out if what == "low" else out)(f(df, what)))
+    monkeypatch.setattr(pairs, "LEAST_BLOCK", 16)
+    names = ["é" * (i % 40) + str(i) for i in range(120)]
+    md5 = lambda p: (hashlib.md5(f"42:{p[0]}:{p[1]}".encode()).hexdigest(), *p)
+    want = sorted(((a, b) for a in names for b in names if a < b), key=md5)[:30]
+    assert {tuple(r) for r in pairs.lowest_pairs(spark.createDataFrame([(n, 7) for n in names], "id string, c int"), "id", "c", 30).collect()} == {(7, *p) for p in want}
+    # 60 keys with 20 copies each: few different pairs are low, but no round has all 708,000 pairs as rows.
+    low.clear()
+    copies = spark.createDataFrame([(i % 60, "x") for i in range(1200)], "id long, c string")
+    want = sorted(((a, b) for b in range(60) for a in range(b)), key=md5)[:1]
+    assert {tuple(r) for r in pairs.lowest_pairs(copies, "id", "c", 100).collect()} == {("x", *p) for p in want}
+    assert max(low) < 100000
