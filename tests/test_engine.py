@@ -400,3 +400,15 @@ def test_lowest_pairs_of_other_keys_and_copies_in_rounds(spark, monkeypatch):
     want = sorted(((a, b) for b in range(60) for a in range(b)), key=md5)[:1]
     assert {tuple(r) for r in pairs.lowest_pairs(copies, "id", "c", 100).collect()} == {("x", *p) for p in want}
     assert max(low) < 100000
+
+
+def test_training_pairs_hash_no_rows_of_pairs(spark, monkeypatch, tmp_path):
+    plans = []
+    monkeypatch.setattr(pairs, "stash", lambda df, what, f=pairs.stash: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if what == "low" else None, f(df, what))[1])
+    part = spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("a title").alias("p_name"), F.concat(F.lit("Brand#"), F.col("id") % 2).alias("p_brand"), F.lit("LARGE").alias("p_type"), F.lit(1).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    found = pairing.in_train_pairs(spark, str(tmp_path)).collect()
+    md5 = lambda p: (hashlib.md5(f"42:{p[0]}:{p[1]}".encode()).hexdigest(), *p)
+    want = {p for c in (0, 1) for p in sorted(((a, b) for b in range(c, 200, 2) for a in range(c, b, 2)), key=md5)[:50]}
+    assert {(r["a"], r["b"]) for r in found if r["match"]} == want and sum(not r["match"] for r in found) == 100
+    assert plans and not any("md5" in p for p in plans)
